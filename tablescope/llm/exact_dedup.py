@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, written
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -71,16 +71,16 @@ def verdicts(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows that stay, with the columns of ``docs``; with an index, those new to it, which are appended."""
+    """The rows that stay, one for each text, with the columns of ``docs``; with an index, those new to it, which are appended."""
     index = index or DigestIndex(docs.sparkSession)
-    known = index.exists()
-    fresh = index.new(docs)
-    keep = fresh.select("keep_id") if known else None
-    if keep is not None:
-        from .common import written
-
-        keep, _ = written(keep, "op2-keep")
+    fresh, _ = written(index.new(docs), "op2-new")
     index.append(fresh)
-    if keep is None:
-        keep = index.read().select("keep_id")
-    return docs.join(keep, docs["doc_id"] == keep["keep_id"], "left_semi")
+    digest = F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"), 256)
+    own = docs.withColumn("_digest", digest)
+    keep = fresh.select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"))
+    kept = own.join(keep, (F.col("_digest") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    # Only where rows repeat both doc_id and text is there more than one row to choose from.
+    rows = digests(docs).groupBy("text_sha256", "doc_id").count().where("count > 1")
+    if rows.limit(1).count():
+        kept = kept.dropDuplicates(["_digest"])
+    return kept.drop("_digest")

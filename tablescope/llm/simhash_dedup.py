@@ -18,7 +18,7 @@ ignored, an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -251,3 +251,130 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 2) -> DataFrame
     """doc_id, fp, component_id for each row of ``docs``."""
     prints, _ = written(fingerprints(docs, k), "op7-documents")
     return clustered(prints, distance)
+
+
+# --- Similarity of at least 0.8 on five-word shingles: a longer fingerprint, grouped by sampled bits ---
+
+WORDS = 4  # a similarity fingerprint has 256 bits
+KEY_BITS, KEY_WORDS = 16, 2
+
+
+def long_fingerprint(hashes: np.ndarray, words_: int) -> np.ndarray:
+    """``words_`` independent 64-bit fingerprints of the same shingles."""
+    from .census import mixed
+
+    return np.array([fingerprint(hashes if not i else mixed(hashes + np.uint64(i))) for i in range(words_)], np.uint64)
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two texts of equal length whose shingle sets have this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def key_layouts(n: int, similarity: float, recall: float = 0.995) -> list[np.ndarray]:
+    """Bit samples that pairs are grouped by: longer samples for more documents, and enough of them.
+
+    Keys are taken over two-word shingles, of which an edit touches two rather than five, so texts
+    at ``similarity`` differ there in fewer bits.
+    """
+    bits = max(KEY_BITS, int(np.ceil(np.log2(max(2, n)))))
+    touched = (1 - similarity) / (1 + similarity) / 5  # share of edited words
+    equal = (1 - np.arccos(1 - 2 * touched) / np.pi) ** bits
+    number = int(np.ceil(np.log(1 - recall) / np.log(1 - equal)))
+    rng = np.random.default_rng(SEED)
+    return [np.sort(rng.permutation(64 * KEY_WORDS)[:bits]) for _ in range(number)]
+
+
+def similar_links(ids: np.ndarray, fp: np.ndarray, most: int, chunk: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a group at ``most`` differing bits. ``fp``: a row of words for each member.
+
+    Members within half the distance of the group's majority pattern are within it of each other,
+    so a dense cluster is linked without comparing its pairs; the rest are compared in Gray order,
+    block by block, with all.
+    """
+    order = np.lexsort((ids, gray_rank(fp[:, 0])))
+    ids, fp = ids[order], fp[order]
+    n = len(ids)
+    bits = np.unpackbits(fp.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    centre = np.packbits((2 * bits.sum(0, dtype=np.int64) > n).astype(np.uint8), bitorder="little").view(np.uint64)
+    inside = np.bitwise_count(fp ^ centre).sum(1) * 2 <= most
+    ball, rest = np.flatnonzero(inside), np.flatnonzero(~inside)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if len(ball) > 1:
+            yield np.full(len(ball) - 1, ball[0]), ball[1:]
+        step = max(1, chunk // (n * WORDS))
+        for a in range(0, len(rest), step):
+            own = rest[a : a + step]
+            i, j = np.nonzero(np.bitwise_count(fp[own, None, :] ^ fp[None, :, :]).sum(2, dtype=np.int16) <= most)
+            ok = own[i] != j
+            yield own[i][ok], j[ok]
+
+    label = forest(n, pairs())
+    root = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(root, label, ids)
+    root = root[label]
+    moved = root != ids
+    return ids[moved], root[moved]
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, slack: float = 0.03) -> DataFrame:
+    """(doc_id, component_id) of the documents that have a near copy, the representative included.
+
+    Two documents are near copies if their 256-bit fingerprints over ``k``-word shingles differ in
+    no more bits than texts of this similarity do, plus ``slack`` for the fingerprint's own spread.
+    Documents are told apart by doc_id.
+    """
+    most = int((differing_share(similarity) + slack) * 64 * WORDS)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, key = [], []
+            for t in b.column("text"):
+                fp.append(long_fingerprint(shingle_hashes(t.as_py(), k), WORDS).tobytes())
+                key.append(long_fingerprint(shingle_hashes(t.as_py(), 2), KEY_WORDS).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.binary()), pa.array(key, pa.binary())], ["doc_id", "fp", "key"])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    printed, path = written(d.mapInArrow(prints, "doc_id long, fp binary, key binary"), "op7-long")
+    layouts = key_layouts(printed.count(), similarity)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(b.column("key").to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
+            for n, own in enumerate(layouts):
+                power = np.int64(1) << np.arange(len(own), dtype=np.int64)
+                key = (bits[:, own].astype(np.int64) * power).sum(1) | np.int64(n << 48)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), b.column("doc_id"), b.column("fp")], ["key", "doc_id", "fp"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate([i for i, _ in held]) if held else np.empty(0, np.int64)
+            if len(ids) > 1:
+                a, b = similar_links(ids, np.concatenate([f for _, f in held]), most)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            key, ids = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(len(ids), WORDS)
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if key[a] != held_key:
+                    if len(held) > 1 or (held and len(held[0][0]) > 1):
+                        yield from done()
+                    held_key, held = key[a], []
+                held.append((ids[a:b], fp[a:b]))
+        yield from done()
+
+    keyed = printed.mapInArrow(spread, "key long, doc_id long, fp binary")
+    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").where("a <> b").distinct()
+    roots = components(edges, "op7-groups")
+    dropped(docs.sparkSession, path)
+    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

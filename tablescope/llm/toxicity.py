@@ -208,27 +208,44 @@ def fitted(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_c
     return trained(found[1], found[0])
 
 
+def in_slices(batch: pa.RecordBatch, field: Field | None, threshold: float, memo: dict) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+    """Slices of whole documents, about 200,000 tokens each, with their scores."""
+    texts, at = batch.column("text"), 0
+    while at < len(texts):
+        found, lengths, first = [], [], at
+        while at < len(texts) and len(found) < 200_000:
+            own = tokens(texts[at].as_py())
+            lengths.append(len(own))
+            found += own
+            at += 1
+        part = batch.slice(first, at - first)
+        yield part, scores(part.column("doc_id"), found, np.array(lengths, np.int64), field, threshold, memo)
+
+
 def scored(docs: DataFrame, field: Field | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, and the offending spans as first and last token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            at = 0
-            while at < len(texts):  # whole documents, about 200,000 tokens at a time
-                found, lengths, first = [], [], at
-                while at < len(texts) and sum(lengths) < 200_000:
-                    own = tokens(texts[at].as_py())
-                    lengths.append(len(own))
-                    found += own
-                    at += 1
-                yield scores(ids.slice(first, at - first), found, np.array(lengths), field, threshold, memo)
+            yield from (own for _, own in in_slices(batch, field, threshold, memo))
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return d.mapInArrow(run, SCHEMA)
 
 
+def without_toxic(docs: DataFrame, field: Field | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose score is below the threshold, all columns as they are; one pass, nothing is joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
+        for batch in batches:
+            for part, own in in_slices(batch, field, threshold, memo):
+                yield part.filter(pa.array(own.column("score").to_numpy() < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scores(ids: pa.Array, found: list[bytes], lengths: np.ndarray, field: Field | None, threshold: float, memo: dict) -> pa.RecordBatch:
     score, spans = np.zeros(len(lengths)), [[] for _ in lengths]
     if field is not None and found:
