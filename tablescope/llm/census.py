@@ -62,7 +62,8 @@ class Roller:
     """Polynomial hashes, modulo 2^64, of every window of ``width`` symbols, segment by segment."""
 
     BASE = 0x9E3779B97F4A7C15 | 1
-    SEGMENT = 1 << 19
+    #: Windows hashed at once: the arrays of a segment stay in a core's cache.
+    SEGMENT = 1 << 15
 
     def __init__(self, width: int):
         self.width, n = width, self.SEGMENT + width
@@ -77,12 +78,14 @@ class Roller:
         for a in range(0, n - self.width + 1, self.SEGMENT):
             yield a, min(a + self.SEGMENT, n - self.width + 1)
 
-    def hashes(self, symbols: np.ndarray) -> np.ndarray:
-        """Of a segment's symbols (windows + width - 1 of them)."""
+    def hashes(self, symbols: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Of a segment's symbols (windows + width - 1 of them): all windows, or those that start at ``at``."""
         sums = np.zeros(len(symbols) + 1, np.uint64)
         np.cumsum(symbols * self.up[: len(symbols)], out=sums[1:])
-        n = len(symbols) - self.width + 1
-        return mixed((sums[self.width :] - sums[:n]) * self.down[:n])
+        if at is None:
+            n = len(symbols) - self.width + 1
+            return mixed((sums[self.width :] - sums[:n]) * self.down[:n])
+        return mixed((sums[at + self.width] - sums[at]) * self.down[at])
 
 
 def sent(piece: int, keys: np.ndarray, buckets: int, key_bits: int = 64) -> pa.Table:
@@ -133,12 +136,19 @@ def received(table: pa.Table) -> np.ndarray:
 
 
 def member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Which keys are in the sorted array ``of``."""
-    if not len(of):
-        return np.zeros(len(keys), bool)
-    at = np.searchsorted(of, keys)
+    """Which keys are in the sorted array ``of``. A table of hashed bits rules most others out before the search."""
+    out = np.zeros(len(keys), bool)
+    if not len(of) or not len(keys):
+        return out
+    mask = np.uint64((1 << 23) - 1)
+    table = np.zeros(1 << 23, bool)
+    table[of & mask] = True
+    maybe = np.flatnonzero(table[keys & mask])
+    wanted = keys[maybe]
+    at = np.searchsorted(of, wanted)
     at[at == len(of)] = 0
-    return of[at] == keys
+    out[maybe[of[at] == wanted]] = True
+    return out
 
 
 def sizes(docs: DataFrame, *measures) -> tuple[int, ...]:

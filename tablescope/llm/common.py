@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,15 +34,19 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[
 
 
 def dropped(spark: SparkSession, *paths: str) -> None:
-    """Delete written tables that nothing needs any more, and let Spark free finished shuffles."""
-    import gc
+    """Delete written tables that nothing needs any more, and let Spark free the shuffles of finished jobs.
 
+    Spark's cleaner removes a shuffle's files once the driver has collected the plan that made
+    them; two rounds, as plans held from Python are let go in the first and collected in the second.
+    """
     jvm = spark._jvm
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.2)
 
 
 def words(text: Column) -> Column:

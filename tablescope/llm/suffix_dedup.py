@@ -3,7 +3,8 @@
 A difference cover D of the residues modulo 57 has 8 members, and for any two positions there is
 a shift below 57 that brings both into D. So two equal strings of 100 bytes always hold two equal
 sampled substrings of 44 bytes at the same shift. The steps of the difference-cover suffix sort,
-bounded at the depth that the question needs (100 bytes):
+bounded at the depth that the question needs (100 bytes).
+Documents whose whole text an earlier one has are covered from end to end and leave first. Then:
 
 1. *sample and sort*: the 44-byte substrings at covered positions are sorted by key in buckets;
    equal neighbours share a name, a substring without an equal neighbour can't be in a repeat.
@@ -37,7 +38,6 @@ from .common import dropped, written
 PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 SAMPLE_BITS = 50
-REPLY = "piece int, bucket int, keys binary, phase int"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 #: One fixed random 64-bit number for each byte value.
 TABLE = census.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -58,43 +58,67 @@ class Piece:
         self.end = np.cumsum(self.n)
         self.begin = self.end - self.n
 
-    def rolled(self, width: int, sampled: bool = False, wanted: np.ndarray | None = None):
-        """(starts, hashes) of windows inside one document, a segment at a time."""
-        roller = census.Roller(width)
-        cover = np.isin(np.arange(PERIOD), COVER)
-        for a, b in roller.segments(len(self.buf)):
-            first, last = np.searchsorted(self.end, (a, b - 1), side="right")
-            own = slice(first, last + 1)
-            each = np.maximum(np.minimum(self.end[own], b) - np.maximum(self.begin[own], a), 0)
-            at = np.arange(a, b, dtype=np.int32)
-            use = at + width <= np.repeat(self.end[own].astype(np.int32), each)
-            if sampled:
-                use &= cover[(at - np.repeat(self.begin[own].astype(np.int32), each)) % PERIOD]
-            if wanted is not None:
-                use &= wanted[a:b]
-            if use.any():
-                yield at[use], roller.hashes(TABLE[self.buf[a : b + width - 1]])[use]
+    def rolled(self, width: int, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows that start where ``use`` is true."""
+        roller, starts = census.Roller(width), np.flatnonzero(use).astype(np.int32)
+        segments = list(roller.segments(len(self.buf)))
+        cuts = np.searchsorted(starts, np.array([b for _, b in segments], np.int32)).tolist()
+        found = []
+        for (a, b), done, upto in zip(segments, [0, *cuts], cuts, strict=False):
+            if upto > done:
+                found.append(roller.hashes(TABLE[self.buf[a : b + width - 1]], starts[done:upto] - a))
+        return starts, np.concatenate(found) if found else np.empty(0, np.uint64)
+
+    def inside(self, width: int) -> np.ndarray:
+        """Where a window of this width ends in the document that it starts in."""
+        use = np.ones(len(self.buf), bool)
+        for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True):
+            use[max(a, b - width + 1) : b] = False
+        return use
+
+    def covered(self) -> np.ndarray:
+        """Positions whose offset in the document is in the difference cover."""
+        one = np.isin(np.arange(PERIOD), COVER)
+        tile = np.tile(one, int(self.n.max(initial=0)) // PERIOD + 1)
+        use = np.empty(len(self.buf), bool)
+        for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True):
+            use[a:b] = tile[: b - a]
+        return use
 
 
 def sample_keys(piece: Piece, length: int) -> tuple[np.ndarray, np.ndarray]:
-    found = [(s.astype(np.int32), h >> np.uint64(64 - SAMPLE_BITS)) for s, h in piece.rolled(length, sampled=True)]
-    if not found:
-        return np.empty(0, np.int32), np.empty(0, np.uint64)
-    return np.concatenate([s for s, _ in found]), np.concatenate([h for _, h in found])
+    starts, h = piece.rolled(length, piece.covered() & piece.inside(length))
+    return starts, h >> np.uint64(64 - SAMPLE_BITS)
 
 
 def candidate_keys(piece: Piece, names: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and keys of the suffixes with a repeated sample in reach."""
+    if not len(names):
+        return np.empty(0, np.int32), np.empty(0, np.uint64)
     starts, keys = sample_keys(piece, length)
     at = starts[census.member(keys, names)]
-    reach = np.zeros(len(piece.buf) + 1, np.int32)
-    np.add.at(reach, np.maximum(at - (PERIOD - 1), 0), 1)
-    np.add.at(reach, at + 1, -1)
-    wanted = np.cumsum(reach[:-1], dtype=np.int32) > 0
-    found = list(piece.rolled(window, wanted=wanted)) if len(at) else []
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate([s for s, _ in found]), np.concatenate([h for _, h in found])
+    reach = np.bincount(np.maximum(at - (PERIOD - 1), 0), minlength=len(piece.buf) + 1).astype(np.int32)
+    reach -= np.bincount(at + 1, minlength=len(piece.buf) + 1)
+    return piece.rolled(window, (np.cumsum(reach[:-1], dtype=np.int32) > 0) & piece.inside(window))
+
+
+def later_copies(docs: DataFrame, window: int) -> DataFrame:
+    """doc_id of the documents whose whole text is that of a smaller doc_id: every byte of theirs is covered.
+
+    Only ids that one row has, and texts as long as a window.
+    """
+    d = docs.where(F.octet_length("text") >= window).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    first = d.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = d.join(first, "sha").where("doc_id > first_id").select("doc_id")
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    return copies.join(repeated, "doc_id", "left_anti")
+
+
+def without(table: pa.Table, replies: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """A piece's documents without the later copies, and those copies."""
+    ids = replies["doc_id"].drop_null()
+    copy = pc.fill_null(pc.is_in(table["doc_id"], value_set=ids.combine_chunks() if len(ids) else pa.array([], pa.int64())), False)
+    return table.filter(pc.invert(copy)), table.filter(copy)
 
 
 def remove_repeats(docs: DataFrame, window: int = 100, piece_bytes: int = census.PIECE_BYTES) -> DataFrame:
@@ -111,10 +135,15 @@ def remove_repeats(docs: DataFrame, window: int = 100, piece_bytes: int = census
     buckets = int(max(1, min(-(-expected // census.BUCKET_KEYS), expected // pieces // census.LEAST_KEYS + 1)))
     edges = sorted(set(cuts or []))
     number = F.size(F.filter(F.lit(edges).cast("array<bigint>"), lambda x: x < F.col("doc_id"))) if edges else F.lit(0)
-    dealt = docs.withColumn("piece", F.coalesce(F.when(F.col("doc_id").isNotNull(), number), F.lit(0)).cast("int")).repartition(len(edges) + 1, "piece")
+    piece = F.coalesce(F.when(F.col("doc_id").isNotNull(), number), F.lit(0)).cast("int").alias("piece")
+    dealt = docs.select("doc_id", "text", piece).repartition(len(edges) + 1, "piece")
+    copies, _ = written(later_copies(docs, window).select(piece, F.lit(0).alias("phase"), F.lit(None).cast("binary").alias("keys"), "doc_id"), "op9-copies")
+    dropped(spark)
 
-    def sample(key: tuple, table: pa.Table) -> pa.Table:
-        _, keys = sample_keys(Piece(table), length)
+    def sample(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return census.packed_table([], [], [])
+        _, keys = sample_keys(Piece(without(table, replies)[0]), length)
         keys.sort()
         if not len(keys):
             return census.packed_table([], [], [])
@@ -128,13 +157,16 @@ def remove_repeats(docs: DataFrame, window: int = 100, piece_bytes: int = census
         n = np.diff(np.append(starts, len(key)))
         return np.repeat((n > 1) | (np.bitwise_or.reduceat(key & np.uint64(1), starts) > 0), n)
 
-    names, name_path = written(census.answered(dealt.groupBy("piece").applyInArrow(sample, census.PACKED), buckets, equal_neighbours, flag_bits=1), "op9-names")
+    samples = dealt.groupBy("piece").cogroup(copies.groupBy("piece")).applyInArrow(sample, census.PACKED)
+    names, _ = written(census.answered(samples, buckets, equal_neighbours, flag_bits=1), "op9-names")
+    del samples
     dropped(spark)
+    replies = copies.unionByName(names.select("piece", F.lit(1).alias("phase"), "keys", F.lit(None).cast("long").alias("doc_id")))
 
     def merge(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return census.packed_table([], [], [])
-        _, keys = candidate_keys(Piece(table), census.received(replies), length, window)
+        _, keys = candidate_keys(Piece(without(table, replies)[0]), census.received(replies.filter(pc.equal(replies["phase"], 1))), length, window)
         return census.sent(key[0].as_py(), np.unique(keys), buckets)
 
     def not_first(key: np.ndarray, piece: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -143,26 +175,22 @@ def remove_repeats(docs: DataFrame, window: int = 100, piece_bytes: int = census
         mask[starts] = False
         return mask
 
-    suffixes = dealt.groupBy("piece").cogroup(names.groupBy("piece")).applyInArrow(merge, census.PACKED)
-    later, later_path = written(census.answered(suffixes, buckets, not_first), "op9-later")
+    suffixes = dealt.groupBy("piece").cogroup(replies.groupBy("piece")).applyInArrow(merge, census.PACKED)
+    later, _ = written(census.answered(suffixes, buckets, not_first), "op9-later")
+    del suffixes
     dropped(spark)
-    replies = names.withColumn("phase", F.lit(1)).unionByName(later.withColumn("phase", F.lit(2)))
+    replies = replies.unionByName(later.select("piece", F.lit(2).alias("phase"), "keys", F.lit(None).cast("long").alias("doc_id")))
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return result(pa.array([], pa.int64()), [], [], [], [])
-        p = Piece(table)
-        phase = replies["phase"].to_numpy()
-        known = [census.received(replies.filter(pa.array(phase == k))) for k in (1, 2)]
+        table, copy = without(table, replies)
+        p, copy = Piece(table), Piece(copy)
+        known = [census.received(replies.filter(pc.equal(replies["phase"], k))) for k in (1, 2)]
         starts, keys = candidate_keys(p, known[0], length, window)
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        again = np.zeros(len(keys), bool)
-        again[order[1:]] = ordered[1:] == ordered[:-1]
-        at = starts[again | census.member(keys, known[1])]
-        cover = np.zeros(len(p.buf) + 1, np.int32)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + window, -1)
+        at = starts[repeats(keys, known[1])]
+        cover = np.bincount(at, minlength=len(p.buf) + 1).astype(np.int32)
+        cover -= np.bincount(at + window, minlength=len(p.buf) + 1)
         gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
         n_removed, n_spans, kept = [], [], []
         for a, b in zip(p.begin.tolist(), p.end.tolist(), strict=True):
@@ -170,11 +198,29 @@ def remove_repeats(docs: DataFrame, window: int = 100, piece_bytes: int = census
             n_removed.append(int(g.sum()))
             n_spans.append(int(np.count_nonzero(g[1:] & ~g[:-1]) + (b > a and bool(g[0]))))
             kept.append((p.buf[a:b][~g] if n_removed[-1] else p.buf[a:b]).tobytes())
-        return result(p.doc_ids, p.n, n_removed, n_spans, kept)
+        gone_whole = copy.n.tolist()
+        ids = pa.chunked_array([*p.doc_ids.chunks, *copy.doc_ids.chunks], pa.int64())
+        return result(ids, [*p.n.tolist(), *gone_whole], n_removed + gone_whole, n_spans + [1] * len(gone_whole), kept + [b""] * len(gone_whole))
 
     return dealt.groupBy("piece").cogroup(replies.groupBy("piece")).applyInArrow(cut, OUT)
 
 
+def repeats(keys: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """Which suffixes aren't the first with their prefix: those after the first here, or all if an earlier piece has it."""
+    out = np.zeros(len(keys), bool)
+    if not len(keys):
+        return out
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    group = np.cumsum(first) - 1
+    at = np.minimum(np.searchsorted(ordered, earlier), len(keys) - 1)
+    found = np.zeros(group[-1] + 1, bool)
+    found[group[at[ordered[at] == earlier]]] = True
+    out[order] = ~first | found[group]
+    return out
+
+
 def result(ids, n_bytes, n_removed, n_spans, kept) -> pa.Table:
     return pa.table({"doc_id": ids, "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
