@@ -30,16 +30,16 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 
 #: (host, path, unwanted): a small table of invented addresses on reserved example domains.
 LABELLED = (
-    ("ads.example.com", "/banner/top.gif", 1), ("adserver.example.net", "/click", 1), ("ad-track.example.net", "/pixel", 1), ("m.ads-track.example.com", "/en/10", 1),
-    ("tracker.example.net", "/collect", 1), ("track.example.com", "/beacon/1", 1), ("stats-track.example.org", "/hit", 1), ("popads.example.com", "/pop/under", 1),
-    ("casino-bonus.example.net", "/win/free-spins", 1), ("bet.example.com", "/casino/bonus", 1), ("cheap-pills.example.net", "/buy/viagra", 1), ("free-download.example.com", "/crack/keygen.exe", 1),
-    ("xxx-cams.example.com", "/adult/live", 1), ("adult.example.net", "/sex/free", 1), ("login-verify.example.com", "/account/confirm", 1), ("spam.example.org", "/buy/now", 1),
-    ("affiliate.example.com", "/redirect/out", 1), ("click.example.net", "/ads/redirect", 1), ("popup.example.org", "/ad/frame", 1), ("promo-ads.example.net", "/sponsor/1", 1),
-    ("www.example.com", "/en/100", 0), ("blog.example.com", "/en/2041.html", 0), ("news.example.net", "/fr/77", 0), ("m.example.org", "/de/5", 0),
-    ("docs.example.com", "/guide/start", 0), ("wiki.example.org", "/en/article", 0), ("library.example.net", "/es/book/12", 0), ("www.example.net", "/en/30001/", 0),
-    ("school.example.org", "/lesson/3", 0), ("science.example.net", "/paper/88", 0), ("thering.example.net", "/en/31", 0), ("tionsh.example.net", "/fr/4412", 0),
-    ("history.example.com", "/es/900", 0), ("blog.ertion.example.net", "/de/73.html", 0), ("recipes.example.net", "/en/soup", 0), ("travel.example.org", "/fr/guide/8", 0),
-    ("music.example.com", "/en/song/9", 0), ("help.example.com", "/faq", 0), ("city.example.net", "/es/map/2", 0), ("archive.example.org", "/en/1999/12", 0),
+    ("ads-track.example.com", "/en/10", 1), ("m.ads-track.example.net", "/de/214.html", 1), ("adserver.example.net", "/click", 1), ("tracker.example.net", "/fr/81/", 1), ("www.ad-click.example.org", "/en/9", 1),
+    ("adult-x.example.com", "/en/37", 1), ("www.adult-videos.example.net", "/es/1204", 1), ("xxx-cams.example.com", "/live/3", 1), ("m.adult-dating.example.org", "/de/5/", 1), ("sex-chat.example.net", "/fr/66", 1),
+    ("casino-win.example.net", "/en/481.html", 1), ("blog.casino-bonus.example.com", "/fr/17", 1), ("free-bets.example.net", "/en/2900", 1), ("www.bets-online.example.com", "/es/31/", 1), ("poker-win.example.org", "/de/650", 1),
+    ("cheap-pills.example.net", "/en/73", 1), ("blog.cheap-meds.example.com", "/fr/402/", 1), ("pills-online.example.org", "/de/12.html", 1), ("buy-viagra.example.com", "/en/1", 1), ("m.cheap-loans.example.net", "/es/88", 1),
+    ("spam-farm.example.org", "/en/5120", 1), ("www.link-farm.example.com", "/fr/9", 1), ("spam-links.example.net", "/de/77/", 1), ("free-download.example.com", "/crack/keygen", 1), ("login-verify.example.org", "/en/3.html", 1),
+    ("www.example.com", "/en/100", 0), ("blog.example.com", "/en/2041.html", 0), ("news.example.net", "/fr/77", 0), ("m.example.org", "/de/5", 0), ("www.example.net", "/es/31/", 0),
+    ("docs.example.com", "/guide/start", 0), ("wiki.example.org", "/en/article", 0), ("library.example.net", "/es/book/12", 0), ("blog.weather.example.net", "/en/30001/", 0), ("school.example.org", "/fr/17", 0),
+    ("science.example.net", "/de/650", 0), ("thering.example.net", "/en/31", 0), ("tionsh.example.net", "/fr/4412", 0), ("www.ththan.example.com", "/en/481.html", 0), ("m.tiontion.example.org", "/de/73.html", 0),
+    ("history.example.com", "/es/900", 0), ("blog.therth.example.net", "/de/12.html", 0), ("recipes.example.net", "/en/soup", 0), ("travel.example.org", "/fr/guide/8", 0), ("ththes.example.com", "/es/1204", 0),
+    ("music.example.com", "/en/song/9", 0), ("m.theron.example.com", "/en/10", 0), ("city.example.net", "/es/map/2", 0), ("archive.example.org", "/en/1999/12", 0), ("tionble.example.com", "/fr/81/", 0),
 )
 
 
