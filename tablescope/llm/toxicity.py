@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 DIM = 1 << 18
 MAX_TOXIC, MAX_CLEAN = 800, 1600
 THRESHOLD = 0.3
-BLOCK = 64
+#: Tokens of a block, and the error at which a message may start inside a document.
+BLOCK, FORGET = 256, 1e-9
 TRIM = b".,;:!?\"'()[]{}<>*_-|`~"
+FEATURES = 5
 SCHEMA = "doc_id long, score double, spans array<struct<first:int,last:int>>"
 
 
@@ -38,14 +40,14 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def parts(token: bytes) -> list[str]:
-    """The features of a token: the word, its beginnings and its end, in characters."""
-    w = token.strip(TRIM).decode()
-    return [f"w{w}", *(f"p{w[:k]}" for k in (3, 4, 5) if len(w) >= k), f"s{w[-3:]}"]
+def parts(token: bytes) -> tuple[bytes, ...]:
+    """The features of a token: the word, its beginnings and its end."""
+    w = token.strip(TRIM)
+    return b"w" + w, b"a" + w[:4], b"b" + w[:5], b"c" + w[:6], b"s" + w[-3:]
 
 
 def hashed(token: bytes) -> list[int]:
-    return [zlib.crc32(p.encode()) % DIM for p in parts(token)]
+    return [zlib.crc32(p) % DIM for p in parts(token)]
 
 
 @dataclass
@@ -57,138 +59,135 @@ class Field:
     chain: np.ndarray
 
     def emissions(self, found: list[bytes], memo: dict) -> np.ndarray:
-        def score(t: bytes) -> float:
-            if (s := memo.get(t)) is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                s = memo[t] = float(self.weights[hashed(t)].sum()) + self.bias
-            return s
-
-        return np.fromiter(map(score, found), np.float64, len(found))
+        """Log-odds of each token by itself. ``memo`` keeps those of tokens seen before, up to a bound."""
+        new = [t for t in dict.fromkeys(found) if t not in memo]
+        if len(memo) + len(new) > 300_000:
+            memo.clear()
+            new = list(dict.fromkeys(found))
+        if new:
+            code = np.array([hashed(t) for t in new], np.int32)
+            memo.update(zip(new, (self.weights[code].sum(1, dtype=np.float64) + self.bias).tolist(), strict=True))
+        return np.fromiter(map(memo.__getitem__, found), np.float64, len(found))
 
     def marginals(self, lengths: np.ndarray, emissions: np.ndarray) -> np.ndarray:
         """P(label 1) of each token; the sequences lie one after the other."""
         return chain_marginals(lengths, emissions, self.chain)[0]
 
 
-def chain_marginals(lengths: np.ndarray, emissions: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over many sequences at once, in blocks of 64 tokens.
+def reach(chain: np.ndarray) -> int:
+    """After how many tokens a message has forgotten what came before, up to ``FORGET``.
+
+    A step contracts the difference of two messages' log-odds by tanh(d / 4), d the log of the
+    cross ratio of the transitions.
+    """
+    rate = math.tanh(abs(chain[0, 0] + chain[1, 1] - chain[0, 1] - chain[1, 0]) / 4)
+    return 1 if rate < 1e-9 else min(4096, max(1, math.ceil(math.log(FORGET) / math.log(rate))))
+
+
+def chain_marginals(lengths: np.ndarray, emissions: np.ndarray, chain: np.ndarray, count: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over many sequences at once, and the expected number of each transition.
 
-    A block's transfer matrix is a product of 2 x 2 matrices, so all blocks advance together; the
-    messages between the blocks of one document follow, then each block is finished with its own.
-    Also returns the expected number of each transition.
+    Sequences are cut into blocks that advance together. A block's messages start as far outside
+    of it as the chain remembers, or at the end of the sequence, so every marginal is that of
+    the whole sequence. With two labels a message is one number, its odds.
     """
     n = int(lengths.sum())
     if not n:
         return np.empty(0), np.zeros((2, 2))
+    warm = reach(chain)
     per = -(-lengths // BLOCK)
-    n_blocks = int(per.sum())
     begin = np.cumsum(lengths) - lengths
-    number = np.arange(n_blocks) - np.repeat(np.cumsum(per) - per, per)
+    number = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
     start = np.repeat(begin, per) + number * BLOCK
-    size = np.minimum(BLOCK, np.repeat(lengths, per) - number * BLOCK)
-    at = start[:, None] + np.arange(BLOCK)
-    real = np.arange(BLOCK) < size[:, None]
-    odds = np.exp(np.clip(np.where(real, emissions[np.minimum(at, n - 1)], 0), -30, 30))
-    step = np.exp(chain)
-    unit = np.eye(2)
-
-    def apply(v: np.ndarray, t: int, forward: bool) -> np.ndarray:
-        """One token's transfer on (blocks, rows, 2) messages; padding leaves them."""
-        if forward:
-            out = v @ step
-            out[..., 1] *= odds[:, t, None]
-        else:
-            out = v.copy()
-            out[..., 1] *= odds[:, t, None]
-            out = out @ step.T
-        out /= out.sum(-1, keepdims=True).max(-2, keepdims=True)
-        return np.where(real[:, t, None, None], out, v)
-
-    def between(matrix: np.ndarray, first: float, forward: bool) -> np.ndarray:
-        """Message into each block from the blocks before (or, backward, after) it."""
-        into = np.empty((n_blocks, 2))
-        lead = np.cumsum(per) - per
-        message = np.full((len(per), 2), first)
-        for k in range(int(per.max())):
-            docs = np.flatnonzero(per > k)
-            row = lead[docs] + (k if forward else per[docs] - 1 - k)
-            into[row] = message[docs]
-            new = np.einsum("di,dij->dj", message[docs], matrix[row])
-            message[docs] = new / new.sum(1, keepdims=True)
-        return into
-
-    ahead = np.tile(unit, (n_blocks, 1, 1))
-    back = ahead.copy()
-    for t in range(BLOCK):
-        ahead = apply(ahead, t, True)
-        back = apply(back, BLOCK - 1 - t, False)
-    f = between(ahead, 0.5, True)[:, None, :]
-    b = between(back, 1.0, False)[:, None, :]
-    fs = np.empty((BLOCK, n_blocks, 2))
-    for t in range(BLOCK):
-        f = apply(f, t, True)
-        fs[t] = f[:, 0]
-    probability = np.empty((n_blocks, BLOCK))
+    low, high = np.repeat(begin, per), np.repeat(begin + lengths, per)
+    offset = np.arange(-warm, BLOCK + warm)
+    at = start[:, None] + offset
+    real = ((at >= low[:, None]) & (at < high[:, None])).T
+    odds = np.exp(np.clip(emissions[np.clip(at, 0, n - 1)].T, -30, 30))
+    a, b, c, d = np.exp(chain).ravel()  # 0-0, 0-1, 1-0, 1-1
+    steps, blocks = odds.shape
+    ahead, r = np.empty((BLOCK, blocks)), np.ones(blocks)
+    for t in range(warm + BLOCK):
+        r = np.where(real[t], odds[t] * (b + d * r) / (a + c * r), 1.0)
+        if t >= warm:
+            ahead[t - warm] = r
+    back, s = np.empty((BLOCK, blocks)), np.ones(blocks)
+    for t in range(steps - 1, warm - 1, -1):
+        # s: odds of what follows token t.
+        if t < warm + BLOCK:
+            back[t - warm] = s
+        o = odds[t] * s
+        s = np.where(real[t], (c + d * o) / (a + b * o), 1.0)
+    inside = real[warm : warm + BLOCK]
+    odd = ahead * back
+    probability = (odd / (1 + odd)).T[inside.T]
     moves = np.zeros((2, 2))
-    for t in range(BLOCK - 1, -1, -1):
-        p = fs[t] * b[:, 0]
-        probability[:, t] = p[:, 1] / p.sum(1)
-        if t:
-            edge = fs[t - 1][:, :, None] * step * (np.stack([np.ones(n_blocks), odds[:, t]], 1) * b[:, 0])[:, None, :]
-            moves += (edge / edge.sum((1, 2), keepdims=True))[real[:, t]].sum(0)
-        b = apply(b, t, False)
-    return probability[real], moves
-
-
-def distant_labels(toxic: list[list[bytes]], clean: list[list[bytes]]) -> set[str]:
-    """Features in at least 0.5 % (and 3) of the toxic documents, and 100 times rarer in clean ones."""
+    if count:
+        pairs = inside[1:] & inside[:-1]
+        f, o = ahead[:-1][pairs], (odds[warm + 1 : warm + BLOCK] * back[1:])[pairs]
+        weight = np.stack([np.full(len(f), a), b * o, c * f, d * f * o])
+        moves = (weight / weight.sum(0)).sum(1).reshape(2, 2)
+    return probability, moves
+
+
+def distant_labels(toxic: list[list[bytes]], clean: list[list[bytes]]) -> set[bytes]:
+    """Words and beginnings that enough toxic documents have, and that are 100 times rarer in clean ones.
+
+    Enough grows with the root of their number, as chance does.
+    """
     seen = [Counter(), Counter()]
     for kind, docs in enumerate((clean, toxic)):
         for d in docs:
-            seen[kind].update({p for t in set(d) for p in parts(t) if p[0] in "wp" and len(p) > 4})
-    least = max(3, 0.005 * len(toxic))
+            seen[kind].update({p for t in set(d) for p in parts(t)[:4] if len(p) > 4})
+    least = max(3.0, 1 + math.sqrt(len(toxic)) / 2)
     return {p for p, n in seen[1].items() if n >= least and n / len(toxic) >= 100 * (seen[0][p] / max(1, len(clean)))}
 
 
-def trained(toxic: list[str], clean: list[str], rounds: int = 25) -> Field | None:
+def unlike(docs: list[list[bytes]], size: int = 16, most: int = 3) -> list[list[bytes]]:
+    """The documents without near copies of earlier ones, so that copies don't count as evidence.
+
+    A document's sketch is its ``size`` smallest hashes of five-word shingles.
+    """
+    kept, holders = [], {}
+    for d in docs:
+        sketch = sorted({zlib.crc32(b" ".join(d[i : i + 5])) for i in range(max(1, len(d) - 4))})[:size]
+        if max(Counter(h for x in sketch for h in holders.get(x, ())).values(), default=0) > min(most, len(sketch) // 2):
+            continue
+        for x in sketch:
+            holders.setdefault(x, []).append(len(kept))
+        kept.append(d)
+    return kept
+
+
+def trained(toxic: list[str], clean: list[str], rounds: int = 20) -> Field | None:
     """Fit the field; None without toxic documents."""
-    docs = [[tokens(t) for t in dict.fromkeys(group)] for group in (clean, toxic)]
+    docs = [unlike([tokens(t) for t in dict.fromkeys(group)]) for group in (clean, toxic)]
     if not docs[1]:
         return None
     marks = distant_labels(docs[1], docs[0])
-    memo: dict = {}
-    codes, labels, lengths = [], [], []
-    for kind, group in enumerate(docs):
-        for d in group:
-            lengths.append(len(d))
-            for t in d:
-                if t not in memo:
-                    own = hashed(t)
-                    memo[t] = (own + [DIM] * (5 - len(own)), any(p in marks for p in parts(t)))
-                codes.append(memo[t][0])
-                labels.append(kind and memo[t][1])
-    code, y, lengths = np.array(codes, np.int32).reshape(-1, 5), np.array(labels, np.float64), np.array(lengths)
-    if not len(y):
+    seen: dict[bytes, int] = {}
+    ids = np.fromiter((seen.setdefault(t, len(seen)) for group in docs for d in group for t in d), np.int32)
+    lengths = np.array([len(d) for group in docs for d in group])
+    if not len(ids):
         return None
-    w, chain, bias = np.zeros(DIM + 1), np.zeros((2, 2)), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
-    # Transitions inside blocks, as the field counts them.
+    code = np.array([hashed(t) for t in seen], np.int32)
+    marked = np.fromiter((any(p in marks for p in parts(t)[:4]) for t in seen), bool, len(seen))
+    y = (marked[ids] & (np.repeat(np.arange(len(lengths)), lengths) >= len(docs[0]))).astype(float)
+    w, chain, bias = np.zeros(DIM), np.zeros((2, 2)), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     offset = np.arange(len(y)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.flatnonzero(offset % BLOCK)
+    at = np.flatnonzero(offset % BLOCK)  # transitions inside blocks, as the field counts them
     pairs = np.array([[((y[at - 1] == i) & (y[at] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
-    square = [np.full(DIM + 1, 1e-3), 1e-3, np.full((2, 2), 1e-3)]
+    square = [np.full(DIM, 1e-3), 1e-3, np.full((2, 2), 1e-3)]
     for _ in range(rounds):
-        p, moves = chain_marginals(lengths, w[code].sum(1) + bias, chain)
-        # Tokens of toxic documents weigh more: they are few.
-        error = (y - p) * np.where(y > 0, 3.0, 1.0)
-        gradient = np.bincount(code.ravel(), np.repeat(error, 5), DIM + 1) - 0.01 * w
-        gradient[DIM] = 0
+        p, moves = chain_marginals(lengths, w[code].sum(1)[ids] + bias, chain, count=True)
+        error = np.bincount(ids, y - p, len(seen))  # tokens of one word share their features
+        gradient = np.bincount(code.ravel(), np.repeat(error, FEATURES), DIM) - 0.01 * w
         steps = (gradient, float(error.sum()), pairs - moves - chain)
         square = [s + g * g for s, g in zip(square, steps, strict=True)]
         w += 0.5 * gradient / np.sqrt(square[0])
         bias += 0.2 * steps[1] / math.sqrt(square[1])
-        chain += 0.05 * steps[2] / np.sqrt(square[2])
-    return Field(w[:DIM].astype(np.float32), bias, chain)
+        chain = np.clip(chain + 0.05 * steps[2] / np.sqrt(square[2]), -1, 1)
+    return Field(w.astype(np.float32), bias, chain)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Field | None:
