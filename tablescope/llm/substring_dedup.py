@@ -27,7 +27,6 @@ from . import census
 from .common import dropped, written
 
 BLOCK_BITS = 50
-REPLY = "piece int, bucket int, keys binary, phase int"
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<first:long,last:long>>"
 
 
