@@ -78,7 +78,7 @@ def threaded(conversations: DataFrame) -> DataFrame:
     m = messages.select("conv_id", "turn", "role", F.trim(body).alias("body"), n_quoted.alias("n_quoted"), depth.alias("quote_depth"))
     same = lambda x: m["conv_id"].eqNullSafe(x["conv_id"]) & (m["turn"] == x["turn"])
     out = m.join(placed, same(placed), "left").join(found, same(found), "left")
-    return out.select(m["conv_id"], m["turn"], "role", "body", "n_quoted", "quote_depth", F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"), "reply_to", F.coalesce("thread", m["turn"]).alias("thread"), F.coalesce("order_key", key(m["turn"])).alias("order_key"))
+    return out.select(m["conv_id"], m["turn"], "role", "body", "n_quoted", "quote_depth", F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"), "reply_to", F.coalesce("thread", m["turn"]).alias("thread"), F.coalesce("order_key", key(m["turn"]), F.lit("")).alias("order_key"))
 
 
 def conversation_text(conversations: DataFrame, template: str = "<|{role}|>\n{body}\n") -> DataFrame:
