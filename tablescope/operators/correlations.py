@@ -52,7 +52,8 @@ def spread_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     x = values(df, columns)
     f = x.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"c{i}").alias("v")) for i in range(len(columns))])).alias("s")).select("s.*").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    placed = f.repartitionByRange(F.col("k"), F.col("v").asc_nulls_last()).withColumn("p", F.spark_partition_id())
+    # Kept, so that both uses see the same ranges: their limits are sampled anew for each plan.
+    placed = f.repartitionByRange(F.col("k"), F.col("v").asc_nulls_last()).withColumn("p", F.spark_partition_id()).persist()
     totals = placed.groupBy("k", "p").agg(F.sum("n").alias("t"))
     first = totals.withColumn("before", F.coalesce(F.sum("t").over(W.partitionBy("k").orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("k", "p", "before")
     inner = F.coalesce(F.sum("n").over(W.partitionBy("k", "p").orderBy(F.col("v").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -86,6 +86,12 @@ def top(freq: DataFrame, number: int = TOP) -> DataFrame:
     return freq.withColumn("place", F.row_number().over(w)).where(F.col("place") <= number)
 
 
+def quantiles(freq: DataFrame, wanted: list[int], shares: list[float]) -> dict[int, list[float]]:
+    """Exact interpolated quantiles of numeric columns from their value counts."""
+    own = freq.where(F.col("k").isin(wanted) & _present(freq))
+    return {r["k"]: r["q"] for r in own.groupBy("k").agg(F.percentile(F.col("v").cast("double"), F.lit(shares), F.col("n")).alias("q")).collect()}
+
+
 def long_distinct(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, n_distinct, n_unique for a query."""
     names = F.array(*[F.lit(c) for c in columns])

@@ -87,17 +87,14 @@ def java(pattern: str) -> str:
     return "(?s)" + out
 
 
-def all_of(test: Column, c: Column) -> Column:
-    """Has values, and all of them pass; false for an empty or missing column."""
-    return F.coalesce(F.bool_or(c.isNotNull()), F.lit(False)) & F.coalesce(F.bool_and(test | c.isNull()), F.lit(False))
-
-
 @dataclass(frozen=True)
 class LogicalType:
-    """``test(column, type)`` is an aggregate that says whether the whole column matches; None: never for that type."""
+    """``value(column, type)``: True where the physical type decides, None where it never fits, else a
+    test that every value must pass. ``whole(column, type)``: an aggregate that must hold as well."""
 
     name: str
-    test: Callable[[Column, T.DataType], Column | None] = field(repr=False)
+    value: Callable[[Column, T.DataType], Column | bool | None] = field(repr=False)
+    whole: Callable[[Column, T.DataType], Column] | None = field(default=None, repr=False)
 
     @property
     def label(self) -> str:
@@ -113,57 +110,47 @@ def rule(name: str, pattern: str | None = None, values: list[str] | None = None,
     def test(c: Column, kind: T.DataType) -> Column | None:
         if not accepts(kind):
             return None
-        return all_of(c.cast("string").rlike(java(pattern)) if pattern else F.lower(c.cast("string")).isin(wanted), c)
+        return c.cast("string").rlike(java(pattern)) if pattern else F.lower(c.cast("string")).isin(wanted)
 
     return LogicalType(name, test)
 
 
-def _native(name: str, native: Callable[[T.DataType], bool], otherwise: LogicalType | None = None, integers: Callable[[Column], Column] | None = None) -> LogicalType:
-    def test(c: Column, kind: T.DataType) -> Column | None:
+def _native(name: str, native: Callable[[T.DataType], bool], texts: LogicalType, integers: Callable[[Column], Column] | None = None) -> LogicalType:
+    def test(c: Column, kind: T.DataType) -> Column | bool | None:
         if native(kind):
-            return F.lit(True)
-        if integers and is_integer(kind):
-            return integers(c)
-        return otherwise.test(c, kind) if otherwise else None
+            return True
+        if is_integer(kind):
+            return integers(c) if integers else None
+        return texts.value(c, kind)
 
     return LogicalType(name, test)
 
 
-def _age(c: Column) -> Column:
-    return all_of(c.between(0, 120), c) & (F.coalesce(F.avg((c > 14).cast("double")), F.lit(0.0)) > 0.5)
-
-
-def _ordinal(c: Column, kind: T.DataType) -> Column | None:
-    if not is_string(kind):
-        return None
-    found = F.lit(False)
-    for group in ORDERS:
-        found = found | all_of(F.lower(c).isin(list(group)), c)
-    return found
-
-
-def _categorical(c: Column, kind: T.DataType) -> Column | None:
-    if not (is_string(kind) or is_integer(kind)):
-        return None
+def _few(c: Column, kind: T.DataType) -> Column:
     n, total = F.count_distinct(c), F.count(F.lit(1))
     few = (n < 20) | (n / F.nullif(total, F.lit(0)) < 0.05)
     repeated = F.when(total < 50, n < total * 0.5).otherwise(n < total * 0.8)
     return (total > 0) & few & repeated
 
 
+def ordered_groups() -> list[LogicalType]:
+    """One rule for each vocabulary; the type named Ordinal stands for any of them."""
+    return [LogicalType("Ordinal", lambda c, k, g=list(g): F.lower(c).isin(g) if is_string(k) else None) for g in ORDERS]
+
+
 def built_in() -> list[LogicalType]:
     """The 37 types in order of priority."""
     texts = {n: rule(n, p) for n, p in PATTERNS.items()} | {n: rule(n, values=v) for n, v in VOCABULARIES.items()}
     special = {
         "DateTime": _native("DateTime", lambda k: isinstance(k, INSTANTS), texts["DateTime"]),
-        "Boolean": _native("Boolean", is_boolean, texts["Boolean"], lambda c: all_of(c.isin([0, 1]), c)),
-        "Age": _native("Age", lambda k: False, None, _age),
-        "Ordinal": LogicalType("Ordinal", _ordinal),
-        "Count": _native("Count", lambda k: False, texts["Count"], lambda c: all_of(c >= 0, c)),
+        "Boolean": _native("Boolean", is_boolean, texts["Boolean"], lambda c: c.isin([0, 1])),
+        "Age": LogicalType("Age", lambda c, k: c.between(0, 120) if is_integer(k) else None, lambda c, k: F.coalesce(F.avg((c > 14).cast("double")), F.lit(0.0)) > 0.5),
+        "Ordinal": LogicalType("Ordinal", lambda c, k: None),
+        "Count": _native("Count", lambda k: False, texts["Count"], lambda c: c >= 0),
         "Integer": _native("Integer", is_integer, texts["Integer"]),
         "Decimal": _native("Decimal", lambda k: is_floating(k) or isinstance(k, T.DecimalType), texts["Decimal"]),
-        "Categorical": LogicalType("Categorical", _categorical),
-        "String": LogicalType("String", lambda c, k: F.lit(True) if is_string(k) else None),
+        "Categorical": LogicalType("Categorical", lambda c, k: True if is_string(k) or is_integer(k) else None, _few),
+        "String": LogicalType("String", lambda c, k: True if is_string(k) else None),
     }
     return [special.get(n) or texts[n] for n in PRIORITY]
 
@@ -186,21 +173,60 @@ def by_physical_type(kind: T.DataType) -> LogicalType:
     return next(t for t in types if t.name == name)
 
 
-def verdicts(df: DataFrame, columns: list[str], skip_categorical: bool = False) -> DataFrame:
-    """One row: for each column the place of its type in ``types``, or -1."""
+def expanded() -> list[LogicalType]:
+    """The types in use, with a rule of its own for each ordered vocabulary."""
+    return [own for t in types for own in (ordered_groups() if t.name == "Ordinal" else [t])]
+
+
+def plan(df: DataFrame, columns: list[str], skip_categorical: bool = False) -> list[list[tuple[LogicalType, int | None, Column | None]]]:
+    """For each column its possible types in order: the bit of its value test (None: no test), and its aggregate."""
     out = []
     for c in columns:
-        kind = df.schema[c].dataType
-        best = F.lit(-1)
-        for place, t in reversed(list(enumerate(types))):
-            if t.name == "Categorical" and skip_categorical:
+        kind, own, bit = df.schema[c].dataType, [], 0
+        for t in expanded():
+            test = None if skip_categorical and t.name == "Categorical" else t.value(named(c), kind)
+            if test is None:
                 continue
-            test = t.test(named(c), kind)
-            if test is not None:
-                best = F.when(test, F.lit(place)).otherwise(best)
-        out.append(best)
-    # Two-level: the aggregates are shared subexpressions of one aggregation.
-    return df.agg(*[b.alias(f"c{i}") for i, b in enumerate(out)])
+            own.append((t, None if test is True else bit, test if test is not True else None))
+            bit += test is not True
+        out.append(own)
+    return out
+
+
+def evidence(df: DataFrame, columns: list[str], plans: list) -> DataFrame:
+    """One row. For each column: how many values, the tests that all of them pass as a bit mask, and its aggregates.
+
+    A mask is one aggregate, however many rules there are; 60 tests fit one.
+    """
+    out = []
+    for i, (c, own) in enumerate(zip(columns, plans, strict=True)):
+        column = named(c)
+        out.append(F.count(column).alias(f"n{i}"))
+        tests = [(bit, test) for _, bit, test in own if bit is not None]
+        for part in range(0, max(1, len(tests)), 60):
+            mask = F.lit(0).cast("long")
+            for bit, test in tests[part : part + 60]:
+                mask = mask.bitwiseOR(F.when(test, F.lit(1 << (bit - part)).cast("long")).otherwise(F.lit(0).cast("long")))
+            out.append(F.bit_and(F.when(column.isNotNull(), mask)).alias(f"m{i}_{part // 60}"))
+        out += [t.whole(column, df.schema[c].dataType).alias(f"w{i}_{j}") for j, (t, _, _) in enumerate(own) if t.whole]
+    return df.agg(*out)
+
+
+def verdicts(df: DataFrame, columns: list[str], skip_categorical: bool = False) -> DataFrame:
+    """One row: for each column the label of its first matching type, or null."""
+    plans = plan(df, columns, skip_categorical)
+    out = []
+    for i, own in enumerate(plans):
+        best = F.lit(None).cast("string")
+        for j, (t, bit, _) in reversed(list(enumerate(own))):
+            holds = F.lit(True)
+            if bit is not None:
+                holds = (F.col(f"n{i}") > 0) & (F.col(f"m{i}_{bit // 60}").bitwiseAND(F.lit(1 << bit % 60).cast("long")) != 0)
+            if t.whole:
+                holds = holds & F.coalesce(F.col(f"w{i}_{j}"), F.lit(False))
+            best = F.when(holds, F.lit(t.name)).otherwise(best)
+        out.append(best.alias(f"c{i}"))
+    return evidence(df, columns, plans).select(*out)
 
 
 def infer(df: DataFrame, columns: list[str] | None = None, sample: int | None = 10_000, minimal: bool = False, skip_categorical: bool = False) -> dict[str, LogicalType]:
@@ -216,9 +242,9 @@ def infer(df: DataFrame, columns: list[str] | None = None, sample: int | None =
         for a in range(0, len(columns), COLUMNS_AT_ONCE):
             own = columns[a : a + COLUMNS_AT_ONCE]
             try:
-                for c, place in zip(own, verdicts(head, own, skip_categorical).first(), strict=True):
-                    if place is not None and place >= 0:
-                        found[c] = types[place]
+                for c, name in zip(own, verdicts(head, own, skip_categorical).first(), strict=True):
+                    if name is not None:
+                        found[c] = next(t for t in types if t.name == name)
             except Exception:  # noqa: S112  a column that can't be checked keeps its physical type
                 continue
     finally:
@@ -228,6 +254,6 @@ def infer(df: DataFrame, columns: list[str] | None = None, sample: int | None =
 
 def long_verdicts(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, logical_type for a query, from all rows."""
-    names = F.array(*[F.lit(t.label) for t in types])
+    labels = F.create_map(*[x for t in types for x in (F.lit(t.name), F.lit(t.label))])
     row = verdicts(df, columns)
-    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.element_at(names, F.col(f"c{i}") + 1).alias("logical_type")) for i, c in enumerate(columns)])).alias("r")).select("r.*")
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), labels[F.col(f"c{i}")].alias("logical_type")) for i, c in enumerate(columns)])).alias("r")).select("r.*")

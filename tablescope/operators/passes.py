@@ -37,37 +37,42 @@ def in_batches(df: DataFrame, expressions: dict[Any, Column], size: int) -> dict
     return out
 
 
-def first_pass(df: DataFrame, registry: Registry, batch_size: int = 500, sketches: bool = False, n_rows: int | None = None) -> tuple[int, dict[tuple[str, str], Any]]:
-    """Row count and {(column, metric): value}, without distinct counts unless they are sketched."""
-    large = n_rows is not None and n_rows > PERCENTILE_ROWS
-    quantiles = {q for q, _ in QUANTILES}
+def first_pass(df: DataFrame, registry: Registry, batch_size: int = 500, sketches: bool = False) -> tuple[int, dict[tuple[str, str], Any]]:
+    """Row count and {(column, metric): value}, without distinct counts and quantiles unless they are sketched.
+
+    Exact quantiles aggregate objects and would take code generation from all other metrics;
+    ``exact_quantiles`` or the frequency pass find them.
+    """
+    names = {q for q, _ in QUANTILES}
     expressions: dict[Any, Column] = {"n": F.count(F.lit(1))}
-    wanted: list[str] = []
     for field in df.schema.fields:
         c, kind = named(field.name), field.dataType
-        own = registry.of(kind)
-        if any(m.name in quantiles for m in own):
-            if sketches:
-                expressions[field.name, "q"] = F.percentile_approx(number(c, kind), F.lit([q for _, q in QUANTILES]), SKETCH_ACCURACY)
-            elif large:
-                wanted.append(field.name)
-            else:
-                expressions[field.name, "q"] = F.percentile(number(c, kind), F.lit([q for _, q in QUANTILES]))
-        for m in own:
+        for m in registry.of(kind):
             if m.name == "n_distinct" and sketches:
                 expressions[field.name, m.name] = F.approx_count_distinct(safe(c, kind), 0.02)
-            elif m.name not in ELSEWHERE and m.name not in quantiles:
+            elif m.name not in ELSEWHERE and m.name not in names:
                 expressions[field.name, m.name] = m.build(c, kind)
     found = in_batches(df, expressions, batch_size)
-    n = int(found.pop("n"))
-    for key in [k for k in found if k[1] == "q"]:
-        values = found.pop(key)
-        values = values if isinstance(values, list) else [None] * len(QUANTILES)
-        found |= {(key[0], name): v for (name, _), v in zip(QUANTILES, values, strict=True)}
-    if wanted:
-        for column, values in by_narrowing(df, wanted, [q for _, q in QUANTILES]).items():
-            found |= {(column, name): v for (name, _), v in zip(QUANTILES, values, strict=True)}
-    return n, found
+    return int(found.pop("n")), found
+
+
+def quantile_columns(df: DataFrame, registry: Registry) -> list[str]:
+    names = {q for q, _ in QUANTILES}
+    return [f.name for f in df.schema.fields if any(m.name in names for m in registry.of(f.dataType))]
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], n_rows: int, sketches: bool = False) -> dict[tuple[str, str], Any]:
+    """Quantiles of columns that have no value counts: in one aggregation, or by narrowing where the table is large."""
+    if not columns:
+        return {}
+    shares = [q for _, q in QUANTILES]
+    if n_rows > PERCENTILE_ROWS and not sketches:
+        by_column = by_narrowing(df, columns, shares)
+    else:
+        kinds = {c: df.schema[c].dataType for c in columns}
+        built = {c: F.percentile_approx(number(named(c), kinds[c]), F.lit(shares), SKETCH_ACCURACY) if sketches else F.percentile(number(named(c), kinds[c]), F.lit(shares)) for c in columns}
+        by_column = in_batches(df, built, 100)
+    return {(c, name): v for c, values in by_column.items() for (name, _), v in zip(QUANTILES, values if isinstance(values, list) else [None] * len(shares), strict=True)}
 
 
 def second_pass(df: DataFrame, moments: dict[str, tuple[float | None, float | None]], batch_size: int = 500) -> dict[tuple[str, str], Any]:
