@@ -48,7 +48,7 @@ def main(arguments: list[str] | None = None) -> int:
         from .profiler import profile
         from .sources.readers import read_any
 
-        spark = SparkSession.builder.appName("tablescope").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        spark = SparkSession.builder.appName("tablescope").config("spark.sql.session.timeZone", "UTC").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
 
         def say(step: int, label: str | None) -> None:
             print(f"{label or ''} (+{step} %)", file=sys.stderr)

@@ -14,9 +14,13 @@ NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 TIME = getattr(T, "TimeType", type(None))
 
 
+def quoted(name: str) -> str:
+    """A column's exact name as SQL, whatever it contains."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def named(name: str) -> Column:
-    """A column by its exact name, whatever it contains."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def is_integer(kind: T.DataType) -> bool:

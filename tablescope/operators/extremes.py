@@ -7,16 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import hashable, named
-from .frequency import comparable
 
 NUMBER = 5
 
 
 def extremes(df: DataFrame, columns: dict[str, bool], number: int = NUMBER) -> DataFrame:
-    """(k, side, place, value as text key) is avoided: one column family at a time keeps native order.
+    """(k, side, place, v): the first values in either direction, in the columns' own order.
 
-    ``columns`` maps a name to whether values are made distinct first. The columns must share a
-    physical type. Each task sends at most ``number`` rows for each column and side.
+    ``columns`` maps a name to whether values are made distinct first; k is its place. The columns
+    must share a physical type. Each task sends at most ``number`` rows for each column and side.
     """
     kind = df.schema[next(iter(columns))].dataType
     spread = [F.struct(F.lit(k).alias("k"), named(c).cast(kind).alias("v"), F.lit(d).alias("d")) for k, (c, d) in enumerate(columns.items())]
@@ -39,6 +38,3 @@ def grouped_by_type(df: DataFrame, columns: dict[str, bool]) -> list[dict[str, b
         if hashable(kind):
             out.setdefault(kind.simpleString(), {})[c] = d
     return list(out.values())
-
-
-__all__ = ["NUMBER", "comparable", "extremes", "grouped_by_type"]

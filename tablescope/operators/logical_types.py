@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import INSTANTS, is_boolean, is_floating, is_integer, is_string, named
+from ..functions.columns import INSTANTS, is_boolean, is_floating, is_integer, is_string, named, quoted
 
 # The patterns, vocabularies, labels and their order decide results.
 PATTERNS = {
@@ -69,9 +69,9 @@ COLUMNS_AT_ONCE = 25
 
 
 def java(pattern: str) -> str:
-    """A pattern with ``$`` at the very end only, and a dot that matches line breaks."""
+    """A pattern for Java: ``$`` matches at the very end only, and a dot matches line breaks too."""
     out, escaped, bracket = "", False, False
-    for i, ch in enumerate(pattern):
+    for ch in pattern:
         if ch == "$" and not escaped and not bracket:
             ch = r"\z"
         out += ch
@@ -83,17 +83,22 @@ def java(pattern: str) -> str:
             bracket = True
         elif ch == "]":
             bracket = False
-    del i
     return "(?s)" + out
 
 
+def text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class LogicalType:
-    """``value(column, type)``: True where the physical type decides, None where it never fits, else a
-    test that every value must pass. ``whole(column, type)``: an aggregate that must hold as well."""
+    """``value(column, type)`` gets the column as quoted SQL: True where the physical type decides, None where it
+    never fits, else a test that every value must pass, as SQL (cheapest to build) or as a Column.
+    ``whole(column, type)``: an aggregate that must hold as well."""
 
     name: str
-    value: Callable[[Column, T.DataType], Column | bool | None] = field(repr=False)
+    value: Callable[[str, T.DataType], str | Column | bool | None] = field(repr=False)
     whole: Callable[[Column, T.DataType], Column] | None = field(default=None, repr=False)
 
     @property
@@ -105,22 +110,22 @@ def rule(name: str, pattern: str | None = None, values: list[str] | None = None,
     """A type of texts that match a pattern, or are in a vocabulary whatever their case."""
     if (pattern is None) == (values is None):
         raise ValueError("give a pattern or values")
-    wanted = sorted({v.lower() for v in values or ()})
 
-    def test(c: Column, kind: T.DataType) -> Column | None:
+    def test(c: str, kind: T.DataType) -> str | None:
         if not accepts(kind):
             return None
-        return c.cast("string").rlike(java(pattern)) if pattern else F.lower(c.cast("string")).isin(wanted)
+        c = f"CAST({c} AS STRING)"
+        return f"{c} RLIKE {text(java(pattern))}" if pattern else f"lower({c}) IN ({', '.join(text(v) for v in sorted({v.lower() for v in values}))})"
 
     return LogicalType(name, test)
 
 
-def _native(name: str, native: Callable[[T.DataType], bool], texts: LogicalType, integers: Callable[[Column], Column] | None = None) -> LogicalType:
-    def test(c: Column, kind: T.DataType) -> Column | bool | None:
+def _native(name: str, native: Callable[[T.DataType], bool], texts: LogicalType, integers: str | None = None) -> LogicalType:
+    def test(c: str, kind: T.DataType) -> str | bool | None:
         if native(kind):
             return True
         if is_integer(kind):
-            return integers(c) if integers else None
+            return f"{c} {integers}" if integers else None
         return texts.value(c, kind)
 
     return LogicalType(name, test)
@@ -135,7 +140,7 @@ def _few(c: Column, kind: T.DataType) -> Column:
 
 def ordered_groups() -> list[LogicalType]:
     """One rule for each vocabulary; the type named Ordinal stands for any of them."""
-    return [LogicalType("Ordinal", lambda c, k, g=list(g): F.lower(c).isin(g) if is_string(k) else None) for g in ORDERS]
+    return [rule("Ordinal", values=list(g)) for g in ORDERS]
 
 
 def built_in() -> list[LogicalType]:
@@ -143,10 +148,10 @@ def built_in() -> list[LogicalType]:
     texts = {n: rule(n, p) for n, p in PATTERNS.items()} | {n: rule(n, values=v) for n, v in VOCABULARIES.items()}
     special = {
         "DateTime": _native("DateTime", lambda k: isinstance(k, INSTANTS), texts["DateTime"]),
-        "Boolean": _native("Boolean", is_boolean, texts["Boolean"], lambda c: c.isin([0, 1])),
-        "Age": LogicalType("Age", lambda c, k: c.between(0, 120) if is_integer(k) else None, lambda c, k: F.coalesce(F.avg((c > 14).cast("double")), F.lit(0.0)) > 0.5),
+        "Boolean": _native("Boolean", is_boolean, texts["Boolean"], "IN (0, 1)"),
+        "Age": LogicalType("Age", lambda c, k: f"{c} BETWEEN 0 AND 120" if is_integer(k) else None, lambda c, k: F.coalesce(F.avg((c > 14).cast("double")), F.lit(0.0)) > 0.5),
         "Ordinal": LogicalType("Ordinal", lambda c, k: None),
-        "Count": _native("Count", lambda k: False, texts["Count"], lambda c: c >= 0),
+        "Count": _native("Count", lambda k: False, texts["Count"], ">= 0"),
         "Integer": _native("Integer", is_integer, texts["Integer"]),
         "Decimal": _native("Decimal", lambda k: is_floating(k) or isinstance(k, T.DecimalType), texts["Decimal"]),
         "Categorical": LogicalType("Categorical", lambda c, k: True if is_string(k) or is_integer(k) else None, _few),
@@ -178,13 +183,13 @@ def expanded() -> list[LogicalType]:
     return [own for t in types for own in (ordered_groups() if t.name == "Ordinal" else [t])]
 
 
-def plan(df: DataFrame, columns: list[str], skip_categorical: bool = False) -> list[list[tuple[LogicalType, int | None, Column | None]]]:
-    """For each column its possible types in order: the bit of its value test (None: no test), and its aggregate."""
+def plan(df: DataFrame, columns: list[str], skip_categorical: bool = False) -> list[list[tuple[LogicalType, int | None, str | Column | None]]]:
+    """For each column its possible types in order, with the bit of the value test and the test (None: no test)."""
     out = []
     for c in columns:
         kind, own, bit = df.schema[c].dataType, [], 0
         for t in expanded():
-            test = None if skip_categorical and t.name == "Categorical" else t.value(named(c), kind)
+            test = None if skip_categorical and t.name == "Categorical" else t.value(quoted(c), kind)
             if test is None:
                 continue
             own.append((t, None if test is True else bit, test if test is not True else None))
@@ -204,9 +209,11 @@ def evidence(df: DataFrame, columns: list[str], plans: list) -> DataFrame:
         out.append(F.count(column).alias(f"n{i}"))
         tests = [(bit, test) for _, bit, test in own if bit is not None]
         for part in range(0, max(1, len(tests)), 60):
-            mask = F.lit(0).cast("long")
-            for bit, test in tests[part : part + 60]:
-                mask = mask.bitwiseOR(F.when(test, F.lit(1 << (bit - part)).cast("long")).otherwise(F.lit(0).cast("long")))
+            own_tests = [(1 << (bit - part), test) for bit, test in tests[part : part + 60]]
+            mask = F.expr(" | ".join(["0L", *(f"CASE WHEN {test} THEN {weight}L ELSE 0L END" for weight, test in own_tests if isinstance(test, str))]))
+            for weight, test in own_tests:
+                if not isinstance(test, str):
+                    mask = mask.bitwiseOR(F.when(test, F.lit(weight).cast("long")).otherwise(F.lit(0).cast("long")))
             out.append(F.bit_and(F.when(column.isNotNull(), mask)).alias(f"m{i}_{part // 60}"))
         out += [t.whole(column, df.schema[c].dataType).alias(f"w{i}_{j}") for j, (t, _, _) in enumerate(own) if t.whole]
     return df.agg(*out)
@@ -214,18 +221,14 @@ def evidence(df: DataFrame, columns: list[str], plans: list) -> DataFrame:
 
 def verdicts(df: DataFrame, columns: list[str], skip_categorical: bool = False) -> DataFrame:
     """One row: for each column the label of its first matching type, or null."""
-    plans = plan(df, columns, skip_categorical)
-    out = []
+    plans, out = plan(df, columns, skip_categorical), []
     for i, own in enumerate(plans):
-        best = F.lit(None).cast("string")
-        for j, (t, bit, _) in reversed(list(enumerate(own))):
-            holds = F.lit(True)
-            if bit is not None:
-                holds = (F.col(f"n{i}") > 0) & (F.col(f"m{i}_{bit // 60}").bitwiseAND(F.lit(1 << bit % 60).cast("long")) != 0)
-            if t.whole:
-                holds = holds & F.coalesce(F.col(f"w{i}_{j}"), F.lit(False))
-            best = F.when(holds, F.lit(t.name)).otherwise(best)
-        out.append(best.alias(f"c{i}"))
+        whens = []
+        for j, (t, bit, _) in enumerate(own):
+            holds = [] if bit is None else [f"n{i} > 0", f"(m{i}_{bit // 60} & {1 << bit % 60}L) <> 0"]
+            holds += [f"coalesce(w{i}_{j}, false)"] if t.whole else []
+            whens.append(f"WHEN {' AND '.join(holds) or 'true'} THEN {text(t.name)}")
+        out.append(F.expr(f"CASE {' '.join(whens)} END" if whens else "CAST(NULL AS STRING)").alias(f"c{i}"))
     return evidence(df, columns, plans).select(*out)
 
 

@@ -430,13 +430,11 @@ def _sample_sql() -> str:
 @query(_sample_sql())
 def logical_rules_on_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pattern and vocabulary on every sample value."""
-    s, out = _sample_rows(spark), None
-    parts = []
+    s, parts = _sample_rows(spark), []
     for name, pattern in logical_types.PATTERNS.items():
         parts.append(F.struct(F.lit(name).alias("rule"), *[F.col(c).rlike(logical_types.java(pattern)).alias(f"{c}_matches") for c in ("good", "bad")]))
     for name, values in logical_types.VOCABULARIES.items():
         parts.append(F.struct(F.lit(name).alias("rule"), *[F.lower(c).isin([v.lower() for v in values]).alias(f"{c}_matches") for c in ("good", "bad")]))
-    del out
     return s.select("type_name", F.inline(F.array(*parts)))
 
 
