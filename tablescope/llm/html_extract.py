@@ -16,7 +16,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -165,9 +164,8 @@ def article(page: str | None) -> str:
     # An article element is the container wherever the largest share of the content is in one.
     content = [b for b, s in zip(usable, scores, strict=True) if s >= threshold and b[2] <= LEAST_LINKS * len(b[1])] or usable
     container = content[0][0]
-    for a, b in pairwise([c[0] for c in content]):
-        del a
-        container = common(container, b)
+    for node, _, _ in content:
+        container = common(container, node)
     inside = [c for c in content if within(c[0], ROOTS)]
     if sum(len(c[1]) for c in inside) > 0.5 * sum(len(c[1]) for c in content):
         container = None
