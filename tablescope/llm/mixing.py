@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import words, written
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 16
@@ -79,7 +79,8 @@ def apportioned(parties: DataFrame, votes: str, seats: Column, within: list[str]
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, max_repeats: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, source, size, source_size, target, shard, quota (blocks of the shard), taken."""
-    d = sized(docs)
+    # Sizes are read several times below; written once, the texts are read once.
+    d, _ = written(sized(docs), "op8-sizes")
     by_source = targets(d.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("source_size")), weights, max_repeats)
     blocks = F.floor(F.sum("target").over(W.partitionBy()) / block_words + 0.5).cast("long")
     # The sources' table is tiny next to the documents; Spark broadcasts it only if its size, known from the aggregation, allows.
