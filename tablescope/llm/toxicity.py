@@ -170,17 +170,28 @@ def trained(toxic: list[str], clean: list[str], rounds: int = 20) -> Field | Non
     lengths = np.array([len(d) for group in docs for d in group])
     if not len(ids):
         return None
+    first_toxic = len(docs[0])
+    docs.clear()
     code = np.array([hashed(t) for t in seen], np.int32)
     marked = np.fromiter((any(p in marks for p in parts(t)[:4]) for t in seen), bool, len(seen))
-    y = (marked[ids] & (np.repeat(np.arange(len(lengths)), lengths) >= len(docs[0]))).astype(float)
+    y = (marked[ids] & (np.repeat(np.arange(len(lengths)), lengths) >= first_toxic)).astype(float)
     w, chain, bias = np.zeros(DIM), np.zeros((2, 2)), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     offset = np.arange(len(y)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     at = np.flatnonzero(offset % BLOCK)  # transitions inside blocks, as the field counts them
     pairs = np.array([[((y[at - 1] == i) & (y[at] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
     square = [np.full(DIM, 1e-3), 1e-3, np.full((2, 2), 1e-3)]
+    # Whole sequences, about 100,000 tokens at a time.
+    part = np.cumsum(lengths) // 100_000
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]
+    ends = np.concatenate(([0], np.cumsum(lengths)))
     for _ in range(rounds):
-        p, moves = chain_marginals(lengths, w[code].sum(1)[ids] + bias, chain, count=True)
-        error = np.bincount(ids, y - p, len(seen))  # tokens of one word share their features
+        word = w[code].sum(1) + bias
+        error, moves = np.zeros(len(seen)), np.zeros((2, 2))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = slice(ends[a], ends[b])
+            p, some = chain_marginals(lengths[a:b], word[ids[own]], chain, count=True)
+            error += np.bincount(ids[own], y[own] - p, len(seen))  # tokens of one word share their features
+            moves += some
         gradient = np.bincount(code.ravel(), np.repeat(error, FEATURES), DIM) - 0.01 * w
         steps = (gradient, float(error.sum()), pairs - moves - chain)
         square = [s + g * g for s, g in zip(square, steps, strict=True)]
