@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 2) -> DataFrame
     return clustered(prints, distance)
 
 
-# --- Similarity of at least 0.8 on five-word shingles: a longer fingerprint, grouped by sampled bits ---
+# --- Similarity of at least 0.8 on five-word shingles: candidates by sampled bits of a longer fingerprint, each confirmed ---
 
 WORDS = 4  # a similarity fingerprint has 256 bits
 KEY_BITS, KEY_WORDS = 16, 2
@@ -285,58 +285,173 @@ def key_layouts(n: int, similarity: float, recall: float = 0.995) -> list[np.nda
     return [np.sort(rng.permutation(64 * KEY_WORDS)[:bits]) for _ in range(number)]
 
 
-def similar_links(ids: np.ndarray, fp: np.ndarray, most: int, chunk: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of a group at ``most`` differing bits. ``fp``: a row of words for each member.
+#: Bits of a set's parity map.
+MAP_BITS = 512
 
-    Members within half the distance of the group's majority pattern are within it of each other,
-    so a dense cluster is linked without comparing its pairs; the rest are compared in Gray order,
-    block by block, with all.
+
+def shingle_set(text: str | None, k: int) -> set[tuple[bytes, ...]]:
+    """The distinct shingles; of a shorter text, all its words as one."""
+    w = (text or "").encode().lower().split()
+    return {tuple(w)} if len(w) < k else set(zip(*(w[i:] for i in range(k)), strict=False))
+
+
+def parity_map(hashes: np.ndarray) -> bytes:
+    """Bit b is the parity of the number of (distinct) hashes that fall on b: two maps differ in no more bits than their sets in members."""
+    odd = (np.bincount((hashes & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def maps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), MAP_BITS // 64)
+
+
+def possible(n_a: np.ndarray, n_b: np.ndarray, differing: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes that differ in at least so many members can have this Jaccard similarity."""
+    alike = np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b) - 1e-9
+    return alike & (differing <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-9)
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(key, doc_id, leader) for each key of two or more documents; the leader is the smallest of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, leader, first = None, 0, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, ids = b.column("key").to_numpy(), b.column("doc_id").to_numpy()
+            new = np.concatenate(([last is None or key[0] != last], np.diff(key) != 0))
+            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            lead = np.where(start >= 0, ids[start], leader)
+            # A leader is sent along with the second member of its key.
+            second = ~new & np.concatenate(([first], new[:-1]))
+            last, leader, first = key[-1], lead[-1], new[-1]
+            columns = [np.concatenate((key[~new], key[second])), np.concatenate((ids[~new], lead[second])), np.concatenate((lead[~new], lead[second]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "doc_id", "leader"])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "key long, doc_id long, leader long")
+
+
+def bounded(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and parity maps allow the similarity."""
+    both = pairs
+    for c in ("a", "b"):
+        both = both.join(sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}")), c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n_a, n_b = (b.column(c).to_numpy() for c in ("n_a", "n_b"))
+                differing = np.bitwise_count(maps(b.column("map_a")) ^ maps(b.column("map_b"))).sum(1, dtype=np.int64)
+                yield b.select(["a", "b"]).filter(pa.array(possible(n_a, n_b, differing, similarity)))
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, similarity: float, k: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity, compared as they stand."""
+    both = pairs
+    for c in ("b", "a"):
+        both = both.join(docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, set()
+        for batch in batches:
+            keep = []
+            for text_a, text_b in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
+                if held != (text_a.as_py(),):
+                    held = (text_a.as_py(),)
+                    own = shingle_set(held[0], k)
+                other = shingle_set(text_b.as_py(), k)
+                common = len(own & other)
+                keep.append(common >= similarity * (len(own) + len(other) - common) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+
+
+def cross_pairs(shared: DataFrame, roots: DataFrame, sizes: DataFrame, similarity: float, chunk: int = 1 << 20) -> DataFrame:
+    """Pairs (a < b) that share a key, are in different components and may have the similarity."""
+    named = shared.select("key", "doc_id").join(roots, shared["doc_id"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    members = named.join(split, "key").join(sizes, "doc_id").select("key", "doc_id", "root", "n", "map")
+
+    def compared(ids: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(n, kind="stable")
+        ids, root, n, bits = ids[order], root[order], n[order], bits[order]
+        # Only members that are larger by a fifth of their own size at most come into question.
+        end = np.searchsorted(n, n / similarity + 1e-6, "right")
+        step = max(1, chunk // len(ids))
+        for a in range(0, len(ids), step):
+            z = min(a + step, len(ids))
+            span = slice(a, int(end[a:z].max()))
+            differing = np.bitwise_count(bits[a:z, None, :] ^ bits[None, span, :]).sum(2, dtype=np.int64)
+            ok = possible(n[a:z, None], n[None, span], differing, similarity) & (root[a:z, None] != root[None, span])
+            i, j = np.nonzero(ok)
+            i, j = i + a, j + a
+            i, j = i[i < j], j[i < j]
+            x, y = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, ids, root, n = (batch.column(c).to_numpy() for c in ("key", "doc_id", "root", "n"))
+            bits = maps(batch.column("map"))
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if key[a] != held_key:
+                    if held:
+                        yield from compared(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held_key, held = key[a], []
+                held.append((ids[a:b], root[a:b], n[a:b], bits[a:b]))
+        if held:
+            yield from compared(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def linked(docs: DataFrame, sizes: DataFrame, keyed: DataFrame, similarity: float, k: int) -> DataFrame:
+    """(node, root) of the documents of ``docs`` that reach another over pairs which share a key and have the similarity.
+
+    Every pair of a key is either compared or already connected by confirmed links: first each
+    member with its key's leader, which joins most of a cluster without its n^2 pairs, then
+    members of one key that are still in different components.
     """
-    order = np.lexsort((ids, gray_rank(fp[:, 0])))
-    ids, fp = ids[order], fp[order]
-    n = len(ids)
-    bits = np.unpackbits(fp.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
-    centre = np.packbits((2 * bits.sum(0, dtype=np.int64) > n).astype(np.uint8), bitorder="little").view(np.uint64)
-    inside = np.bitwise_count(fp ^ centre).sum(1) * 2 <= most
-    ball, rest = np.flatnonzero(inside), np.flatnonzero(~inside)
-
-    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if len(ball) > 1:
-            yield np.full(len(ball) - 1, ball[0]), ball[1:]
-        step = max(1, chunk // (n * WORDS))
-        for a in range(0, len(rest), step):
-            own = rest[a : a + step]
-            i, j = np.nonzero(np.bitwise_count(fp[own, None, :] ^ fp[None, :, :]).sum(2, dtype=np.int16) <= most)
-            ok = own[i] != j
-            yield own[i][ok], j[ok]
-
-    label = forest(n, pairs())
-    root = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(root, label, ids)
-    root = root[label]
-    moved = root != ids
-    return ids[moved], root[moved]
-
-
-def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, slack: float = 0.03) -> DataFrame:
+    spark = docs.sparkSession
+    shared, shared_path = written(shared_keys(keyed), "op7-shared")
+    tested, tested_path = written(bounded(shared.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct(), sizes, similarity), "op7-tested")
+    links_, links_path = written(confirmed(tested, docs, similarity, k), "op7-links")
+    roots = components(links_, "op7-groups")
+    more, more_path = written(cross_pairs(shared, roots, sizes, similarity).join(tested, ["a", "b"], "left_anti"), "op7-cross")
+    all_links, all_path = written(links_.union(confirmed(more, docs, similarity, k)), "op7-links")
+    found = components(all_links, "op7-groups")
+    dropped(spark, shared_path, tested_path, links_path, more_path, all_path)
+    return found
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5) -> DataFrame:
     """(doc_id, component_id) of the documents that have a near copy, the representative included.
 
-    Two documents are near copies if their 256-bit fingerprints over ``k``-word shingles differ in
-    no more bits than texts of this similarity do, plus ``slack`` for the fingerprint's own spread.
+    Two documents are near copies if their sets of ``k``-word shingles have a Jaccard similarity of
+    at least ``similarity``; sampled bits of a fingerprint only say which pairs are compared.
     Documents are told apart by doc_id.
     """
-    most = int((differing_share(similarity) + slack) * 64 * WORDS)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, key = [], []
+            n, bits, key = [], [], []
             for t in b.column("text"):
-                fp.append(long_fingerprint(shingle_hashes(t.as_py(), k), WORDS).tobytes())
+                own = np.unique(shingle_hashes(t.as_py(), k))
+                n.append(max(1, len(own)))
+                bits.append(parity_map(own))
                 key.append(long_fingerprint(shingle_hashes(t.as_py(), 2), KEY_WORDS).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.binary()), pa.array(key, pa.binary())], ["doc_id", "fp", "key"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(key, pa.binary())], ["doc_id", "n", "map", "key"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    printed, path = written(d.mapInArrow(prints, "doc_id long, fp binary, key binary"), "op7-long")
+    printed, path = written(d.mapInArrow(prints, "doc_id long, n long, map binary, key binary"), "op7-long")
     layouts = key_layouts(printed.count(), similarity)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,34 +462,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, slack:
             for n, own in enumerate(layouts):
                 power = np.int64(1) << np.arange(len(own), dtype=np.int64)
                 key = (bits[:, own].astype(np.int64) * power).sum(1) | np.int64(n << 48)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), b.column("doc_id"), b.column("fp")], ["key", "doc_id", "fp"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate([i for i, _ in held]) if held else np.empty(0, np.int64)
-            if len(ids) > 1:
-                a, b = similar_links(ids, np.concatenate([f for _, f in held]), most)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            key, ids = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
-            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(len(ids), WORDS)
-            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                if key[a] != held_key:
-                    if len(held) > 1 or (held and len(held[0][0]) > 1):
-                        yield from done()
-                    held_key, held = key[a], []
-                held.append((ids[a:b], fp[a:b]))
-        yield from done()
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), b.column("doc_id")], ["key", "doc_id"])
 
-    keyed = printed.mapInArrow(spread, "key long, doc_id long, fp binary")
-    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").where("a <> b").distinct()
-    roots = components(edges, "op7-groups")
+    keyed = printed.select("doc_id", "key").mapInArrow(spread, "key long, doc_id long")
+    roots = linked(d, printed.select("doc_id", "n", "map"), keyed, similarity, k)
     dropped(docs.sparkSession, path)
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

@@ -230,6 +230,36 @@ def test_similar_groups_find_edits_and_leave_others(spark):
     assert {k: v for k, v in got.items() if k < 500} == {100 + i: i for i in range(10)}
 
 
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_groups_confirm_each_link(spark):
+    """Copies on both sides of 0.8, and copies whose smallest id is a stranger: only true links count."""
+    rng, words = random.Random(9), vocabulary(3000, 2)
+    data = {}
+    for i in range(40):
+        base = [rng.choice(words) for _ in range(300)]
+        data[10 * i + 1] = " ".join(base)
+        # Single edits each change five shingles of 296: of 6 or fewer J is above 0.8, of 8 it is about 0.76.
+        for j, edits in ((2, 6), (3, 8)):
+            edited = list(base)
+            for at in range(20, 20 + 30 * edits, 30):
+                edited[at] = f"edit{j}"
+            data[10 * i + j] = " ".join(edited)
+    d = spark.createDataFrame(list(data.items()), "doc_id long, text string")
+    near = lambda a, b: jaccard(data[a], data[b]) >= 0.8
+    want = {10 * i + 2: 10 * i + 1 for i in range(40)}
+    assert all(near(a, b) and not near(a + 1, a) and not near(a + 1, b) for a, b in want.items())
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_groups(d).where("doc_id <> component_id").collect()}
+    assert not got.keys() - want.keys() and all(got[i] == want[i] for i in got) and len(got) >= 36
+    # The same with the odd copy as the smallest id, which every candidate link of a key's leader then meets first.
+    swapped = d.withColumn("doc_id", F.when(F.col("doc_id") % 10 == 3, F.col("doc_id") - 3).otherwise(F.col("doc_id")))
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_groups(swapped).where("doc_id <> component_id").collect()}
+    assert not got.keys() - want.keys() and all(got[i] == want[i] for i in got) and len(got) >= 36
+
+
 def test_mixing(spark, docs, rows):
     out = mixing.mixed(docs, shard_rows=5).collect()
     size = {}
