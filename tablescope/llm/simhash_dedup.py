@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 2) -> DataFrame
     return clustered(prints, distance)
 
 
-# --- Similarity of at least 0.8 on five-word shingles: candidates by sampled bits of a longer fingerprint, each confirmed ---
+# --- Similarity of at least 0.8 on five-word shingles: candidates by shared rare shingles, each confirmed ---
 
 WORDS = 4  # a similarity fingerprint has 256 bits
 KEY_BITS, KEY_WORDS = 16, 2
@@ -432,39 +432,73 @@ def linked(docs: DataFrame, sizes: DataFrame, keyed: DataFrame, similarity: floa
     return found
 
 
+def common_hashes(docs: DataFrame, k: int, docs_sampled: int = 5_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, sorted, that a sample of the documents holds more than once, and in how many of its documents.
+
+    They only put shingles in order, rare ones first. Any order finds all pairs; this one keeps
+    documents that share no more than a frequent line from being compared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), k)).view(np.int64))], ["h"])
+
+    share = max(1, docs.count() // docs_sampled)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    found = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(most).toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Of a document's distinct shingles (sorted hashes), as many of the first in the common order as
+    make sure that another set of the similarity has one of them among its own first."""
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    known, count = common
+    at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+    often = np.where(known[at] == hashes, count[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
+    first = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+    return hashes[np.argsort(often, kind="stable")[:first]]
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5) -> DataFrame:
     """(doc_id, component_id) of the documents that have a near copy, the representative included.
 
     Two documents are near copies if their sets of ``k``-word shingles have a Jaccard similarity of
-    at least ``similarity``; sampled bits of a fingerprint only say which pairs are compared.
-    Documents are told apart by doc_id.
+    at least ``similarity``. Candidates come from a prefix filter: sets of that similarity share at
+    least ceil(similarity x n) of the n shingles of either, so in any common order the first
+    n - ceil(similarity x n) + 1 of both have one in common, whatever the number of documents or
+    the shape of the edits. Neither SimHash nor the Gray-ordered index takes part: a fingerprint
+    only estimates the similarity. Documents are told apart by doc_id.
     """
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    common = common_hashes(d, k)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, bits, key = [], [], []
+            n, bits, keys = [], [], []
             for t in b.column("text"):
                 own = np.unique(shingle_hashes(t.as_py(), k))
                 n.append(max(1, len(own)))
                 bits.append(parity_map(own))
-                key.append(long_fingerprint(shingle_hashes(t.as_py(), 2), KEY_WORDS).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(key, pa.binary())], ["doc_id", "n", "map", "key"])
+                keys.append(prefix(own, common, similarity).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "n", "map", "keys"])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    printed, path = written(d.mapInArrow(prints, "doc_id long, n long, map binary, key binary"), "op7-long")
-    layouts = key_layouts(printed.count(), similarity)
+    printed, path = written(d.mapInArrow(prints, "doc_id long, n long, map binary, keys binary"), "op7-sets")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            bits = np.unpackbits(np.frombuffer(b"".join(b.column("key").to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
-            for n, own in enumerate(layouts):
-                power = np.int64(1) << np.arange(len(own), dtype=np.int64)
-                key = (bits[:, own].astype(np.int64) * power).sum(1) | np.int64(n << 48)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), b.column("doc_id")], ["key", "doc_id"])
-
-    keyed = printed.select("doc_id", "key").mapInArrow(spread, "key long, doc_id long")
+            # A long text has many keys: a few documents at a time.
+            for a in range(0, b.num_rows, 256):
+                part = b.slice(a, 256)
+                keys = part.column("keys").to_pylist()
+                ids = np.repeat(part.column("doc_id").to_numpy(), [len(x) // 8 for x in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(ids, pa.int64())], ["key", "doc_id"])
+
+    keyed = printed.select("doc_id", "keys").mapInArrow(spread, "key long, doc_id long")
     roots = linked(d, printed.select("doc_id", "n", "map"), keyed, similarity, k)
     dropped(docs.sparkSession, path)
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

@@ -260,6 +260,22 @@ def test_similar_groups_confirm_each_link(spark):
     assert not got.keys() - want.keys() and all(got[i] == want[i] for i in got) and len(got) >= 36
 
 
+def test_similar_groups_find_every_shape_of_edit(spark):
+    """Appended, replaced and scattered edits just above 0.8, by true five-word Jaccard, as if in any corpus."""
+    rng, words = random.Random(3), vocabulary(3000, 2)
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    data = {}
+    for i in range(120):
+        base = some(400)
+        data[i] = " ".join(base)
+        edited = base + some(95) if i % 3 == 0 else base[:150] + some(38) + base[188:] if i % 3 == 1 else [w if j % 47 else "edit" for j, w in enumerate(base)]
+        data[1000 + i] = " ".join(edited)
+    assert all(0.8 <= jaccard(data[i], data[1000 + i]) < 0.83 for i in range(120))
+    d = spark.createDataFrame(list(data.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_groups(d).where("doc_id <> component_id").collect()}
+    assert got == {1000 + i: i for i in range(120)}
+
+
 def test_mixing(spark, docs, rows):
     out = mixing.mixed(docs, shard_rows=5).collect()
     size = {}
