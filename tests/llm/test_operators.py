@@ -276,6 +276,16 @@ def test_similar_groups_find_every_shape_of_edit(spark):
     assert got == {1000 + i: i for i in range(120)}
 
 
+def test_similar_groups_do_not_count_repeats(spark):
+    """One line repeated in texts that are otherwise all different does not make them alike."""
+    rng, words = random.Random(4), vocabulary(3000, 2)
+    line = [rng.choice(words) for _ in range(10)]
+    data = [(i, " ".join(line * 40 + [rng.choice(words) for _ in range(400)])) for i in range(20)]
+    assert max(jaccard(a, b) for i, (_, a) in enumerate(data) for _, b in data[:i]) < 0.1
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    assert simhash_dedup.similar_groups(d).count() == 0
+
+
 def test_mixing(spark, docs, rows):
     out = mixing.mixed(docs, shard_rows=5).collect()
     size = {}
