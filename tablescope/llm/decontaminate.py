@@ -45,13 +45,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = 5, share: float = 0.8, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Places where at least ``share`` of a window's distinct terms lie within ``slop`` words of its extent
-    around its rarest term: (doc_id, item_id, start, length, found)."""
+    around one of its rarest terms: (doc_id, item_id, start, length, found).
+
+    A window of n distinct terms of which m must be found is looked up by its n - m + 1 rarest, of
+    which any match holds one; terms that the corpus lacks are the rarest of all.
+    """
 
     def near(postings: DataFrame) -> DataFrame:
         found = F.size(F.array_intersect("terms", "around")) / F.size(F.array_distinct("terms"))
-        return postings.where(found >= share).select("doc_id", "item_id", F.greatest(F.lit(0), F.col("at") - F.col("offset") - slop).alias("start"), (F.size("terms") + 2 * slop).alias("length"), found.alias("found"))
+        spots = postings.where(found >= share).select("doc_id", "item_id", F.greatest(F.lit(0), F.col("at") - F.col("offset") - slop).alias("start"), (F.size("terms") + 2 * slop).alias("length"), found.alias("found"))
+        return spots.groupBy("doc_id", "item_id", "start", "length").agg(F.max("found").alias("found"))
 
-    return _in_blocks(docs, benchmark, window, block_windows, near, slop)
+    return _in_blocks(docs, benchmark, window, block_windows, near, slop, share)
 
 
 def _phrases(postings: DataFrame) -> DataFrame:
@@ -60,7 +65,7 @@ def _phrases(postings: DataFrame) -> DataFrame:
     return postings.where(exact).select("doc_id", "item_id", start.alias("start"), F.size("terms").alias("length"))
 
 
-def _in_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_windows: int, match, slop: int = 0) -> DataFrame:
+def _in_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_windows: int, match, slop: int = 0, share: float = 1.0) -> DataFrame:
     found = windows(benchmark, window)
     n = found.count()
     blocks = max(1, -(-n // block_windows))
@@ -70,20 +75,27 @@ def _in_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_windows
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("w"))
     for b in range(blocks):
         own = found.where(F.col("block") == b).drop("block") if blocks > 1 else found
-        hits = match(_postings(d, own, window, slop))
+        hits = match(_postings(d, own, window, slop, share))
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
-def _postings(d: DataFrame, own: DataFrame, window: int, slop: int) -> DataFrame:
-    """Postings of each window's rarest term, with the words around them."""
+def _postings(d: DataFrame, own: DataFrame, window: int, slop: int, share: float = 1.0) -> DataFrame:
+    """Postings of each window's rarest term, or below a ``share`` of 1 of its rarest ones, with the words around them."""
     # A block has at most BLOCK_WINDOWS windows, so the terms that are gathered and broadcast here are bounded.
     vocabulary = own.select(F.explode("terms").alias("term")).distinct()
     seen = d.select(F.explode("w").alias("term")).join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     seen, _ = written(seen, "op4-terms")
     parts = own.select("item_id", "terms", F.posexplode("terms").alias("offset", "term")).join(F.broadcast(seen), "term", "left")
-    # Where a term never occurs the window can't occur either: n is null and its seed is dropped.
-    rarest = parts.groupBy("item_id", "terms").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")).alias("s")).where(F.col("s.n") > 0).select("item_id", "terms", "s.term", "s.offset")
+    rated = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")
+    if share < 1:
+        per_term = parts.groupBy("item_id", "terms", "term").agg(F.min(rated).alias("s")).groupBy("item_id", "terms").agg(F.array_sort(F.collect_list("s")).alias("all"))
+        seeds_of = F.size("all") - F.ceil(F.size("all") * share - 1e-9).cast("int") + 1
+        rarest = per_term.select("item_id", "terms", F.explode(F.slice("all", F.lit(1), F.least(F.size("all"), seeds_of))).alias("s"))
+    else:
+        rarest = parts.groupBy("item_id", "terms").agg(F.min(rated).alias("s"))
+    # A term that never occurs has no postings; a phrase that needs it can't occur either.
+    rarest = rarest.where(F.col("s.n") > 0).select("item_id", "terms", "s.term", "s.offset")
     rarest, _ = written(rarest, "op4-seeds")
     seeds = [r[0] for r in rarest.select("term").distinct().collect()]
     at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(seeds)) if seeds else F.array().cast("array<int>")

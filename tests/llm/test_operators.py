@@ -162,6 +162,15 @@ def test_decontamination_proximity_and_empty_tables(spark, docs, none):
     assert decontaminate.judged(none, bench).count() == 0
 
 
+def test_decontamination_proximity_finds_windows_without_their_rarest_terms(spark):
+    texts = ["a b c d e f g h i z", "a b c d e f g h y z", "a b c d e f g x y z", "q a b c", "j", "i h"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # The last term of the second item occurs nowhere, and of the first only far from the rest.
+    bench = spark.createDataFrame([("p", "a b c d e f g h i j"), ("q", "a b c d e f g h i nowhere")], "item_id string, text string")
+    got = {(r.doc_id, r.item_id, round(r.found, 3)) for r in decontaminate.proximity(d, bench).collect()}
+    assert got == {(doc, item, found) for item in "pq" for doc, found in ((0, 0.9), (1, 0.8))}
+
+
 def simhash(text, k=3):
     w = (text or "").encode().lower().split()
     grams = [b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([b" ".join(w)] if w else [])
