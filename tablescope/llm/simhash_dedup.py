@@ -11,6 +11,9 @@
    cluster of n near copies gives n - 1 links and never its n^2 pairs.
 4. Components: minimum labels with pointer jumping over the links, written out between rounds.
 
+``similar_groups``, the pipeline's near-dedup, does without fingerprints and without this index: it
+needs the exact similarity of shingle sets, and takes candidates from a prefix filter.
+
 Nulls: a null text has no words and fingerprint zero; a null doc_id is never the smallest of a
 component unless it has only nulls. Rows that repeat a doc_id are all returned. Extra columns are
 ignored, an empty table gives no rows.
@@ -255,6 +258,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 2) -> DataFrame
 
 # --- Similarity of at least 0.8 on five-word shingles: candidates by shared rare shingles, each confirmed ---
 
+# Long fingerprints and sampled bits estimate the similarity; ``similar_groups`` uses neither, only tests do.
 WORDS = 4  # a similarity fingerprint has 256 bits
 KEY_BITS, KEY_WORDS = 16, 2
 
