@@ -1,11 +1,11 @@
-"""What several operators share: the shared folder, written tables, byte-exact word rules."""
+"""What several operators share: the shared folder, written tables, row numbers, byte-exact word rules."""
 
 from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +16,22 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a local master gets a folder of its own; a cluster has to name one."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="tablescope-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tablescope-"))
+        found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
-    """``df`` as a Parquet table in the shared folder, and its path. Cuts lineage: a lost executor costs a reread."""
+    """``df`` as a Parquet table in the shared folder, and its path. Cuts lineage: a lost executor costs a reread.
+
+    Spark knows the size of a table that is read again, so whether a join broadcasts it is decided by that size.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
@@ -34,19 +40,29 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[
 
 
 def dropped(spark: SparkSession, *paths: str) -> None:
-    """Delete written tables that nothing needs any more, and let Spark free the shuffles of finished jobs.
-
-    Spark's cleaner removes a shuffle's files once the driver has collected the plan that made
-    them; two rounds, as plans held from Python are let go in the first and collected in the second.
-    """
-    jvm = spark._jvm
+    """Delete written tables that nothing needs any more."""
     for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now rather than at its next half-hourly collection.
+
+    Its cleaner removes a shuffle once the driver has collected the plan that made it; plans held
+    from Python go in the first round and are collected in the second.
+    """
     for _ in range(2):
         gc.collect()
-        jvm.System.gc()
-        time.sleep(0.2)
+        spark._jvm.System.gc()
+
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, with underscores added until no column is called so (Spark's names don't tell case)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
 
 
 def words(text: Column) -> Column:
@@ -54,6 +70,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
+def digest(text: Column) -> Column:
+    """SHA-256 of a whole text in UTF-8, lowercase hex; null counts as empty."""
+    return F.sha2(F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8"), 256)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import census
-from .common import dropped, written
+from .common import dropped, released, written
 
 BLOCK_BITS = 50
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<first:long,last:long>>"
@@ -111,7 +111,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, piece_bytes: int = census.
         return census.sent(key[0].as_py(), distinct_flagged(keys, p.offset[starts] % block == 0), buckets, BLOCK_BITS + 2)
 
     hits, hit_path = written(census.answered(dealt.groupBy("piece").applyInArrow(probe, census.PACKED), buckets, repeated, flag_bits=2), "op1-hits")
-    dropped(spark)
+    released(spark)
 
     def extend(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -134,6 +134,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, piece_bytes: int = census.
     windows = dealt.groupBy("piece").cogroup(hits.groupBy("piece")).applyInArrow(extend, census.PACKED)
     matches, _ = written(census.answered(windows, buckets, twice, flag_bits=1), "op1-matches")
     dropped(spark, hit_path)
+    released(spark)
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         p = Piece(table)

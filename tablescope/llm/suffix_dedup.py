@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import census
-from .common import dropped, written
+from .common import dropped, released, written
 
 #: A perfect difference set modulo 57: its differences are all residues, each once. Fixed values.
 PERIOD = 57
@@ -138,7 +138,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, piece_bytes: int = census
     piece = F.coalesce(F.when(F.col("doc_id").isNotNull(), number), F.lit(0)).cast("int").alias("piece")
     dealt = docs.select("doc_id", "text", piece).repartition(len(edges) + 1, "piece")
     copies, _ = written(later_copies(docs, window).select(piece, F.lit(0).alias("phase"), F.lit(None).cast("binary").alias("keys"), "doc_id"), "op9-copies")
-    dropped(spark)
+    released(spark)
 
     def sample(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -160,7 +160,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, piece_bytes: int = census
     samples = dealt.groupBy("piece").cogroup(copies.groupBy("piece")).applyInArrow(sample, census.PACKED)
     names, _ = written(census.answered(samples, buckets, equal_neighbours, flag_bits=1), "op9-names")
     del samples
-    dropped(spark)
+    released(spark)
     replies = copies.unionByName(names.select("piece", F.lit(1).alias("phase"), "keys", F.lit(None).cast("long").alias("doc_id")))
 
     def merge(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, piece_bytes: int = census
     suffixes = dealt.groupBy("piece").cogroup(replies.groupBy("piece")).applyInArrow(merge, census.PACKED)
     later, _ = written(census.answered(suffixes, buckets, not_first), "op9-later")
     del suffixes
-    dropped(spark)
+    released(spark)
     replies = replies.unionByName(later.select("piece", F.lit(2).alias("phase"), "keys", F.lit(None).cast("long").alias("doc_id")))
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
