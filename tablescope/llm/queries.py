@@ -29,10 +29,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    index = exact_dedup.DigestIndex(spark)
-    index.add(docs)
-    return exact_dedup.verdicts(docs, index)
+    # Two batches, together the whole table, so that the second is deduplicated against what the first has appended.
+    first = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True))
+    return exact_dedup.judged(table(spark, sf_dir, "documents"), [first, ~first])
 
 
 def op3_chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,13 +101,14 @@ def test_difference_cover_has_every_shift():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
 
 
-def test_exact_dedup(spark, docs, rows):
-    index = exact_dedup.DigestIndex(spark, buckets=4)
-    index.add(docs)
+@pytest.mark.parametrize("hot_rows", [exact_dedup.HOT_ROWS, 1])
+@pytest.mark.parametrize("batches", [None, ["doc_id < 30", "doc_id between 30 and 60", "doc_id > 60"]])
+def test_exact_dedup(spark, docs, rows, batches, hot_rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot_rows)
     groups = {}
     for d, t in rows:
         groups.setdefault(t or "", []).append(d)
-    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.verdicts(docs, index).collect()}
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.judged(docs, batches, exact_dedup.DigestIndex(spark, buckets=4)).collect()}
     assert got == {d: (max(g), len(g), d == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for d in g}
 
 
@@ -117,7 +118,16 @@ def test_digest_index_takes_only_new_texts(spark):
     assert {r.doc_id for r in exact_dedup.deduplicated(first, index).collect()} == {2, 3}
     second = spark.createDataFrame([(4, "a", 0), (5, "b", 0), (6, "", 0), (5, "b", 0)], "doc_id long, text string, keep_id int")
     assert [r.doc_id for r in exact_dedup.deduplicated(second, index).collect()] == [5]
-    assert index.read().count() == 3
+    assert index.groups().count() == 3 and {r.group_size for r in index.groups().collect()} == {2, 3}
+
+
+def test_exact_dedup_keeps_columns_whatever_their_names(spark, none):
+    d = spark.createDataFrame([(1, "a", 5, "x", 1), (2, "a", 6, "y", 2), (2, "a", 6, "y", 2), (2, "a", 7, "z", 3), (None, "b", 8, "w", 4)], "doc_id long, text string, sha int, keep string, _digest int")
+    out = exact_dedup.deduplicated(d)
+    assert out.columns == d.columns
+    first, second = (sorted(map(tuple, exact_dedup.deduplicated(x).collect()), key=repr) for x in (d, d.repartition(3)))
+    assert first == second and len(first) == 2 and first[1] == (None, "b", 8, "w", 4) and first[0][:2] == (2, "a")
+    assert exact_dedup.judged(none).count() == 0
 
 
 def test_exact_dedup_keeps_one_of_repeated_rows_and_tells_texts_of_one_id_apart(spark):
@@ -144,15 +154,29 @@ def brute_benchmark(rows, items):
     return out
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_WINDOWS, 7])
-def test_decontamination(spark, docs, rows, block):
+def test_decontamination(spark, docs, rows):
     items = [(1, rows[0][1][:200]), (2, "changed"), (3, None), (10, rows[5][1]), (11, "É ñ-x? ß"), (12, "never seen anywhere"), (1, rows[0][1][:200]), (4, "")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in decontaminate.judged(docs, bench, block_windows=block).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in decontaminate.judged(docs, bench).collect()}
     want = brute_benchmark(rows, items)
     assert got == want and sum(x[3] for x in want.values()) >= 3
 
 
+def test_decontamination_of_repeated_and_null_ids(spark):
+    """Rows are told apart by themselves: of two rows of one doc_id, or of none, only the one with the passage is hit."""
+    item = "one two three four five six seven eight nine ten eleven"
+    data = [(1, item), (1, "hello there"), (None, "x " + item + " y"), (None, None), (2, item), (2, item), (3, ""), (4, "solo"), (5, "nine ten")]
+    d = spark.createDataFrame([(i, t, "k", 7) for i, t in data], "doc_id long, text string, key string, hit int")
+    bench = spark.createDataFrame([(8, item), (9, "solo"), (None, "ten nine")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.item_ids) for r in decontaminate.judged(d, bench).collect())
+    assert got == sorted([(1, 11, 11, ["8"]), (1, 2, 0, []), (0, 13, 11, ["8"]), (0, 0, 0, []), (2, 11, 11, ["8"]), (2, 11, 11, ["8"]), (3, 0, 0, []), (4, 1, 1, ["9"]), (5, 2, 0, [])])
+    left = decontaminate.without_matches(d, bench)
+    assert left.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (1, "hello there"), (3, ""), (5, "nine ten")]
+    assert sorted((r.doc_id or 0, r.item_id, r.start, r.length) for r in decontaminate.matches(d, bench).collect())[0] == (0, "8", 1, 10)
+    assert decontaminate.without_matches(d.limit(0), bench).count() == 0 and decontaminate.without_matches(d, bench.limit(0)).count() == len(data)
+
+
 def test_decontamination_proximity_and_empty_tables(spark, docs, none):
     d = spark.createDataFrame([(1, "a b c x d e f y g h i j"), (2, "a b c d")], "doc_id long, text string")
     bench = spark.createDataFrame([("q", "a b c d e f g h i j")], "item_id string, text string")
