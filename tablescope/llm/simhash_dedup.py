@@ -11,8 +11,9 @@
    cluster of n near copies gives n - 1 links and never its n^2 pairs.
 4. Components: minimum labels with pointer jumping over the links, written out between rounds.
 
-``similar_groups``, the pipeline's near-dedup, does without fingerprints and without this index: it
-needs the exact similarity of shingle sets, and takes candidates from a prefix filter.
+``without_near_copies``, the pipeline's near-dedup, needs the exact similarity of shingle sets. It groups
+by shared rare shingles instead of bit blocks, searches each group in the same Gray-ordered tree,
+there over parity maps of the sets, and confirms what it finds by the sets themselves.
 
 Nulls: a null text has no words and fingerprint zero; a null doc_id is never the smallest of a
 component unless it has only nulls. Rows that repeat a doc_id are all returned. Extra columns are
@@ -21,7 +22,7 @@ ignored, an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, fresh, written
 
 SEED = 42
 BITS = 64
@@ -75,56 +76,77 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_order(x: np.ndarray) -> np.ndarray:
+    """The order by Gray rank of fingerprints of several words, (n, words), the first word leading."""
+    rank = gray_rank(x)
+    odd = (np.cumsum(np.bitwise_count(x), 1, dtype=np.int64) - np.bitwise_count(x)) & 1  # of the words before
+    rank = np.where(odd == 1, ~rank, rank)
+    return np.lexsort(rank.T[::-1])
+
+
 class GrayTree:
-    """Levels of nodes over a Gray-ordered array: first member, shared bits (mask), their pattern."""
+    """Levels of nodes over a Gray-ordered array: first member, shared bits (mask), their pattern.
+
+    ``fp`` is (n,) or, for longer fingerprints, (n, words).
+    """
 
     def __init__(self, fp: np.ndarray):
-        self.fp, self.levels = fp, []
-        ones, any_, width = fp, fp, LEAF
+        self.fp, self.levels = fp.reshape(len(fp), -1), []
+        ones, any_ = self.fp, self.fp
         while True:
-            step = LEAF if not self.levels else FAN
-            cut = np.arange(0, len(ones), step)
+            cut = np.arange(0, len(ones), LEAF if not self.levels else FAN)
             ones, any_ = np.bitwise_and.reduceat(ones, cut), np.bitwise_or.reduceat(any_, cut)
-            self.levels.append((~(ones ^ any_), ones, width))
+            self.levels.append((~(ones ^ any_), ones))
             if len(ones) == 1:
                 break
-            width *= FAN
         self.levels.reverse()
 
-    def near(self, distance: int, chunk: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (i < j) within ``distance``, in chunks; whole pairs of nodes are pruned on shared bits."""
+    def largest(self, values: np.ndarray) -> list[np.ndarray]:
+        """The largest value under each node, level by level from the root, then the members' own."""
+        out = [values]
+        while len(out) <= len(self.levels):
+            out.append(np.maximum.reduceat(out[-1], np.arange(0, len(out[-1]), LEAF if len(out) == 1 else FAN)))
+        return out[::-1]
+
+    def near(self, allowed: Callable[[int, np.ndarray, np.ndarray], np.ndarray | int], chunk: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i < j) that differ in at most ``allowed(level, i, j)`` bits, in chunks.
+
+        Whole pairs of nodes are pruned on their shared bits: what they differ in there adds up on
+        the way down. For nodes, ``allowed`` is the most that any pair below them may differ in; the
+        members' level is ``len(levels)``.
+        """
+        words_ = self.fp.shape[1]
+        chunk, slice_, bottom = max(64, chunk // words_), max(16, 512 // words_), len(self.levels) - 1
         zero = np.zeros(1, np.int64)
-        stack = [(0, zero, zero, np.zeros(1, np.uint64), np.zeros(1, np.uint8))]
+        stack = [(0, zero, zero, np.zeros((1, words_), np.uint64), np.zeros(1, np.int64))]
         while stack:
             level, a, b, seen, acc = stack.pop()
             if len(a) > chunk:
                 half = len(a) // 2
                 stack += [(level, a[half:], b[half:], seen[half:], acc[half:]), (level, a[:half], b[:half], seen[:half], acc[:half])]
                 continue
-            mask, pattern, _ = self.levels[level]
+            mask, pattern = self.levels[level]
             shared = mask[a] & mask[b]
-            acc = acc + np.bitwise_count((pattern[a] ^ pattern[b]) & shared & ~seen)
-            keep = acc <= distance
+            acc = acc + np.bitwise_count((pattern[a] ^ pattern[b]) & shared & ~seen).sum(1, dtype=np.int64)
+            keep = acc <= allowed(level, a, b)
             a, b, seen, acc = a[keep], b[keep], shared[keep], acc[keep]
             if not len(a):
                 continue
-            last = level == len(self.levels) - 1
-            fan, n = (LEAF, len(self.fp)) if last else (FAN, len(self.levels[level + 1][0]))
+            fan, n = (LEAF, len(self.fp)) if level == bottom else (FAN, len(self.levels[level + 1][0]))
             grid = np.arange(fan)
-            if last:
-                for s in range(0, len(a), 512):
-                    i = (a[s : s + 512, None, None] * fan + grid[:, None]).repeat(fan, 2)
-                    j = (b[s : s + 512, None, None] * fan + grid[None, :]).repeat(fan, 1)
-                    ok = (i < j) & (j < n)
-                    i, j = i[ok], j[ok]
-                    ok = np.bitwise_count(self.fp[i] ^ self.fp[j]) <= distance
-                    yield i[ok], j[ok]
-                continue
-            i = (a[:, None, None] * fan + grid[:, None]).repeat(fan, 2)
-            j = (b[:, None, None] * fan + grid[None, :]).repeat(fan, 1)
-            ok = (i <= j) & (j < n)
-            shape = i.shape
-            stack.append((level + 1, i[ok], j[ok], np.broadcast_to(seen[:, None, None], shape)[ok], np.broadcast_to(acc[:, None, None], shape)[ok]))
+            step = slice_ if level == bottom else len(a)
+            for s in range(0, len(a), step):
+                i = (a[s : s + step, None, None] * fan + grid[:, None]).repeat(fan, 2)
+                j = (b[s : s + step, None, None] * fan + grid[None, :]).repeat(fan, 1)
+                if level < bottom:
+                    ok = (i <= j) & (j < n)
+                    own = np.broadcast_to(np.arange(len(a))[:, None, None], i.shape)[ok]
+                    stack.append((level + 1, i[ok], j[ok], seen[own], acc[own]))
+                    continue
+                ok = (i < j) & (j < n)
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(1, dtype=np.int64) <= allowed(level + 1, i, j)
+                yield i[ok], j[ok]
 
 
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -171,7 +193,7 @@ def group_links(fp: np.ndarray, free: list[int], distance: int, split_at: int =
         moved = label != np.arange(len(values))
         return values[moved], values[label[moved]]
     fp = fp[np.argsort(gray_rank(fp), kind="stable")]
-    label = forest(len(fp), GrayTree(fp).near(distance))
+    label = forest(len(fp), GrayTree(fp).near(lambda level, a, b: distance))
     moved = label != np.arange(len(fp))
     return fp[moved], fp[label[moved]]
 
@@ -214,7 +236,7 @@ def links(prints: DataFrame, distance: int = 2, split_at: int = SPLIT_AT) -> Dat
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) for every node of the edges; the root is the smallest node of its component.
+    """(node, root) for every node of the edges but the roots; the root is the smallest node of its component.
 
     Rounds of "link to the smallest neighbour, then jump": edges are replaced by edges between the
     neighbours' smallest, so chains halve; the number of rounds is logarithmic in a chain's length.
@@ -258,37 +280,6 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 2) -> DataFrame
 
 # --- Similarity of at least 0.8 on five-word shingles: candidates by shared rare shingles, each confirmed ---
 
-# Long fingerprints and sampled bits estimate the similarity; ``similar_groups`` uses neither, only tests do.
-WORDS = 4  # a similarity fingerprint has 256 bits
-KEY_BITS, KEY_WORDS = 16, 2
-
-
-def long_fingerprint(hashes: np.ndarray, words_: int) -> np.ndarray:
-    """``words_`` independent 64-bit fingerprints of the same shingles."""
-    from .census import mixed
-
-    return np.array([fingerprint(hashes if not i else mixed(hashes + np.uint64(i))) for i in range(words_)], np.uint64)
-
-
-def differing_share(similarity: float) -> float:
-    """Expected share of differing bits of two texts of equal length whose shingle sets have this Jaccard similarity."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def key_layouts(n: int, similarity: float, recall: float = 0.995) -> list[np.ndarray]:
-    """Bit samples that pairs are grouped by: longer samples for more documents, and enough of them.
-
-    Keys are taken over two-word shingles, of which an edit touches two rather than five, so texts
-    at ``similarity`` differ there in fewer bits.
-    """
-    bits = max(KEY_BITS, int(np.ceil(np.log2(max(2, n)))))
-    touched = (1 - similarity) / (1 + similarity) / 5  # share of edited words
-    equal = (1 - np.arccos(1 - 2 * touched) / np.pi) ** bits
-    number = int(np.ceil(np.log(1 - recall) / np.log(1 - equal)))
-    rng = np.random.default_rng(SEED)
-    return [np.sort(rng.permutation(64 * KEY_WORDS)[:bits]) for _ in range(number)]
-
-
 #: Bits of a set's parity map.
 MAP_BITS = 512
 
@@ -374,27 +365,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, similarity: float, k: int) -> D
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def cross_pairs(shared: DataFrame, roots: DataFrame, sizes: DataFrame, similarity: float, chunk: int = 1 << 20) -> DataFrame:
-    """Pairs (a < b) that share a key, are in different components and may have the similarity."""
+def cross_pairs(shared: DataFrame, roots: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a < b) that share a key, are in different components and may have the similarity.
+
+    The members of a key are put in Gray order by their parity maps and searched through the tree of
+    shared bits: two maps differ in no more bits than their sets in members, so the tree prunes
+    groups of nodes by accumulated differences without losing a pair.
+    """
     named = shared.select("key", "doc_id").join(roots, shared["doc_id"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     members = named.join(split, "key").join(sizes, "doc_id").select("key", "doc_id", "root", "n", "map")
 
     def compared(ids: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(n, kind="stable")
+        order = gray_order(bits)
         ids, root, n, bits = ids[order], root[order], n[order], bits[order]
-        # Only members that are larger by a fifth of their own size at most come into question.
-        end = np.searchsorted(n, n / similarity + 1e-6, "right")
-        step = max(1, chunk // len(ids))
-        for a in range(0, len(ids), step):
-            z = min(a + step, len(ids))
-            span = slice(a, int(end[a:z].max()))
-            differing = np.bitwise_count(bits[a:z, None, :] ^ bits[None, span, :]).sum(2, dtype=np.int64)
-            ok = possible(n[a:z, None], n[None, span], differing, similarity) & (root[a:z, None] != root[None, span])
-            i, j = np.nonzero(ok)
-            i, j = i + a, j + a
-            i, j = i[i < j], j[i < j]
-            x, y = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        tree = GrayTree(bits)
+        most = tree.largest(n)
+        for i, j in tree.near(lambda level, a, b: (1 - similarity) / (1 + similarity) * (most[level][a] + most[level][b]) + 1e-9):
+            ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (root[i] != root[j])
+            x, y = np.minimum(ids[i[ok]], ids[j[ok]]), np.maximum(ids[i[ok]], ids[j[ok]])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,18 +457,17 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
     return hashes[np.argsort(often, kind="stable")[:first]]
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5) -> DataFrame:
-    """(doc_id, component_id) of the documents that have a near copy, the representative included.
+def near_rows(numbered: DataFrame, similarity: float = 0.8, k: int = 5) -> DataFrame:
+    """(row, root) of the rows of (doc_id, text) that have a near copy, its root included; here doc_id is a row's own number.
 
-    Two documents are near copies if their sets of ``k``-word shingles have a Jaccard similarity of
-    at least ``similarity``. Candidates come from a prefix filter: sets of that similarity share at
+    Two texts are near copies if their sets of ``k``-word shingles have a Jaccard similarity of at
+    least ``similarity``. Candidates come from a prefix filter: sets of that similarity share at
     least ceil(similarity x n) of the n shingles of either, so in any common order the first
     n - ceil(similarity x n) + 1 of both have one in common, whatever the number of documents or
-    the shape of the edits. Neither SimHash nor the Gray-ordered index takes part: a fingerprint
-    only estimates the similarity. Documents are told apart by doc_id.
+    the shape of the edits. Those that share one are searched in the Gray-ordered tree by their
+    parity maps. SimHash itself takes no part, as it only estimates the similarity.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    common = common_hashes(d, k)
+    common = common_hashes(numbered, k)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -491,7 +479,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5) -> Data
                 keys.append(prefix(own, common, similarity).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "n", "map", "keys"])
 
-    printed, path = written(d.mapInArrow(prints, "doc_id long, n long, map binary, keys binary"), "op7-sets")
+    printed, path = written(numbered.mapInArrow(prints, "doc_id long, n long, map binary, keys binary"), "op7-sets")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -503,6 +491,33 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(ids, pa.int64())], ["key", "doc_id"])
 
     keyed = printed.select("doc_id", "keys").mapInArrow(spread, "key long, doc_id long")
-    roots = linked(d, printed.select("doc_id", "n", "map"), keyed, similarity, k)
-    dropped(docs.sparkSession, path)
-    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    roots = linked(numbered, printed.select("doc_id", "n", "map"), keyed, similarity, k)
+    dropped(numbered.sparkSession, path)
+    return roots.select(F.col("node").alias("row"), "root").union(roots.select(F.col("root").alias("row"), "root").distinct())
+
+
+def grouped_rows(docs: DataFrame, similarity: float, k: int) -> tuple[DataFrame, str, DataFrame, str]:
+    """The rows of ``docs`` with a number, the name of that column, (row, doc_id, root) of those with near copies, and the numbered table's path."""
+    row = fresh(docs.columns, "row")
+    numbered, path = written(docs.withColumn(row, F.monotonically_increasing_id()), "op7-rows")
+    found = near_rows(numbered.select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text")), similarity, k)
+    ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return numbered, row, found.join(ids, "row").select("row", "doc_id", "root"), path
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5) -> DataFrame:
+    """(doc_id, component_id) of the documents that have a near copy, the representative included; component_id
+    is the smallest doc_id of the group (null if all are). See ``near_rows``."""
+    _, _, found, _ = grouped_rows(docs, similarity, k)
+    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def without_near_copies(docs: DataFrame, similarity: float = 0.8, k: int = 5) -> DataFrame:
+    """One row of each group of near copies, with the columns of ``docs``: the one with the smallest doc_id, a
+    null one last, and the first in the table of rows that share it. Rows are told apart by a number of
+    their own, so rows that repeat a doc_id or have none are compared like others. All texts without
+    words are equal; an empty table gives no rows; extra columns are passed on, whatever their names."""
+    numbered, row, found, path = grouped_rows(docs, similarity, k)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("first"))
+    gone, _ = written(found.join(first, "root").where("row <> first").select(F.col("row").alias(row)), "op7-gone")
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

@@ -319,6 +319,38 @@ def test_similar_groups_do_not_count_repeats(spark):
     assert simhash_dedup.similar_groups(d).count() == 0
 
 
+def test_near_copies_of_repeated_and_null_ids(spark, none):
+    """No unlike row goes with a copy that shares its doc_id, and a row without doc_id is compared like others."""
+    rng, words = random.Random(8), vocabulary(2000, 3)
+    long = [rng.choice(words) for _ in range(200)]
+    near = " ".join(long[:100] + ["edit"] + long[101:])
+    data = [(1, " ".join(long)), (None, near), (3, near + " end"), (3, "something quite different here"), (None, "alone without number"), (5, ""), (4, None), (7, "Two Words"), (7, "two words"), (None, "word " * 20_000)]
+    d = spark.createDataFrame([(i, t, "a", 1) for i, t in data], "doc_id long, text string, row string, root int")
+    out = simhash_dedup.without_near_copies(d)
+    assert out.columns == d.columns
+    got = sorted((r.doc_id or 0, len(r.text or "")) for r in out.collect())
+    assert got == sorted([(1, len(" ".join(long))), (3, 30), (0, 20), (4, 0), (7, 9), (0, 100_000)])
+    assert simhash_dedup.without_near_copies(none).count() == 0
+
+
+@pytest.mark.parametrize("words_", [1, 8])
+def test_gray_tree_finds_all_pairs(words_):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, (60, words_), dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (600, words_)).astype(np.uint64)
+    fp = np.concatenate([base, base[rng.integers(0, 60, 600)] ^ flips])
+    fp = fp[simhash_dedup.gray_order(fp)]
+    size = words_ * rng.integers(1, 3, len(fp))
+    tree = simhash_dedup.GrayTree(fp)
+    most = tree.largest(size)
+    got = {(int(a), int(b)) for i, j in tree.near(lambda level, a, b: most[level][a] + most[level][b]) for a, b in zip(i, j, strict=True)}
+    apart = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2, dtype=np.int64)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(apart <= size[:, None] + size[None]), strict=True) if a < b}
+    assert got == want and len(want) > 500
+    if words_ == 1:
+        assert (np.diff(simhash_dedup.gray_rank(fp[:, 0]).astype(object)) >= 0).all()
+
+
 def test_mixing(spark, docs, rows):
     out = mixing.mixed(docs, shard_rows=5).collect()
     size = {}
