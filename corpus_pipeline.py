@@ -1,13 +1,15 @@
 """The corpus pipeline: toxicity, exact dedup, near-dedup, decontamination, mixing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; between the
-stages the documents are written as Parquet and read again.
+stages the documents are written as Parquet and read again. Rows are judged one by one, never by
+doc_id: rows that repeat a doc_id or have none are kept or go each on its own account. A null text is
+an empty one. An empty table passes through every stage; further columns are passed on, whatever their
+names, up to the last stage, which returns the mix.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tablescope.llm import decontaminate, exact_dedup, mixing, simhash_dedup, toxicity
 from tablescope.llm.common import written
@@ -27,16 +29,12 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group at a similarity of 0.8 or more on five-word shingles, the row with the smallest doc_id."""
-    groups = simhash_dedup.similar_groups(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return simhash_dedup.without_near_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    hit = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    hit, _ = written(hit, "pipeline-hit")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    return decontaminate.without_matches(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
