@@ -11,13 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import TIME, hashable, is_boolean, is_floating, is_integer, is_string, named
+from ..functions.columns import INSTANTS, TIME, hashable, is_boolean, is_floating, is_integer, is_string, named
 
 TOP = 20
 
 
 def family(kind: T.DataType) -> str:
-    if is_integer(kind) or is_boolean(kind) or isinstance(kind, (T.DateType, T.TimestampType)):
+    if is_integer(kind) or is_boolean(kind) or isinstance(kind, INSTANTS):
         return "whole"
     return "real" if is_floating(kind) else "text"
 
@@ -30,6 +30,9 @@ def comparable(column: Column, kind: T.DataType) -> Column:
         return F.unix_date(column).cast("long")
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(column)
+    if isinstance(kind, T.TimestampNTZType):  # by its fields, as no time zone takes part
+        fields = F.unix_date(column.cast("date")).cast("long") * 86_400 + F.hour(column) * 3600 + F.minute(column) * 60
+        return fields * 1_000_000 + (F.extract(F.lit("SECOND"), column) * 1_000_000).cast("long")
     if is_floating(kind):
         return column.cast("double") + F.lit(0.0)  # -0.0 and 0.0 are equal
     if isinstance(kind, T.BinaryType):
@@ -47,10 +50,8 @@ def restored(value, kind: T.DataType):
         return bool(value)
     if isinstance(kind, T.DateType):
         return dt.date(1970, 1, 1) + dt.timedelta(days=value)
-    if isinstance(kind, T.TimestampType):
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=value)
-    if isinstance(kind, (T.TimestampNTZType,)):
-        return dt.datetime.fromisoformat(value)
     if isinstance(kind, TIME):
         return dt.time.fromisoformat(value)
     return value
@@ -62,11 +63,11 @@ def frequencies(df: DataFrame, columns: list[str]) -> list[DataFrame]:
     out = []
     for name, type_ in (("whole", "long"), ("real", "double"), ("text", "string")):
         own = [c for c in columns if family(kinds[c]) == name and hashable(kinds[c])]
-        if len(own) == 1:  # nothing to unpivot
-            out.append(df.select(F.lit(columns.index(own[0])).alias("k"), comparable(named(own[0]), kinds[own[0]]).cast(type_).alias("v")).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")))
-        elif own:
-            pairs = [F.struct(F.lit(columns.index(c)).alias("k"), comparable(named(c), kinds[c]).cast(type_).alias("v")) for c in own]
-            out.append(df.select(F.explode(F.array(*pairs)).alias("p")).select("p.k", "p.v").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")))
+        if own:
+            # Unpivoted by an Expand, which code generation covers, not by arrays of structs.
+            wide = df.select(*[comparable(named(c), kinds[c]).cast(type_).alias(str(columns.index(c))) for c in own])
+            f = wide.unpivot([], [named(c) for c in wide.columns], "k", "v").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+            out.append(f.select(F.col("k").cast("int").alias("k"), "v", "n"))
     return out
 
 

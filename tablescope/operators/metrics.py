@@ -95,3 +95,4 @@ for _m in (
 REPORT_NAMES = {"median": "50%", "p5": "5%", "p25": "25%", "p75": "75%", "p95": "95%", "missing": "n_missing", "zeros": "n_zeros", "infinite": "n_infinite"}
 #: Metrics that the first pass leaves to other passes.
 ELSEWHERE = {"n_distinct", "n_unique"}
+BUILT_IN = {m.name: m for m in registry}

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import named, number, safe
-from .metrics import ELSEWHERE, QUANTILES, Registry
+from .metrics import ELSEWHERE, QUANTILES, Metric, Registry
 from .quantiles import by_narrowing
 
 #: Up to this many rows, quantiles come from the exact ``percentile`` aggregate, which holds a
@@ -37,8 +38,9 @@ def in_batches(df: DataFrame, expressions: dict[Any, Column], size: int) -> dict
     return out
 
 
-def first_pass(df: DataFrame, registry: Registry, batch_size: int = 500, sketches: bool = False) -> tuple[int, dict[tuple[str, str], Any]]:
-    """Row count and {(column, metric): value}, without distinct counts and quantiles unless they are sketched.
+def first_pass(df: DataFrame, registry: Registry, batch_size: int = 500, sketches: bool = False, known: Callable[[str, T.DataType, Metric], bool] | None = None) -> tuple[int, dict[tuple[str, str], Any]]:
+    """Row count and {(column, metric): value}, without distinct counts and quantiles unless they are sketched,
+    and without what is ``known`` from value counts.
 
     Exact quantiles aggregate objects and would take code generation from all other metrics;
     ``exact_quantiles`` or the frequency pass find them.
@@ -50,7 +52,7 @@ def first_pass(df: DataFrame, registry: Registry, batch_size: int = 500, sketche
         for m in registry.of(kind):
             if m.name == "n_distinct" and sketches:
                 expressions[field.name, m.name] = F.approx_count_distinct(safe(c, kind), 0.02)
-            elif m.name not in ELSEWHERE and m.name not in names:
+            elif m.name not in ELSEWHERE and m.name not in names and not (known and known(field.name, kind, m)):
                 expressions[field.name, m.name] = m.build(c, kind)
     found = in_batches(df, expressions, batch_size)
     return int(found.pop("n")), found

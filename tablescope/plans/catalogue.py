@@ -326,7 +326,7 @@ def spearman_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT v, min(r)::BIGINT AS rank, count(*) AS n FROM (SELECT p_size::DOUBLE AS v, rank() OVER (ORDER BY p_size) AS r FROM part) GROUP BY v")
 def distributed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlations.spread_ranks(table(spark, sf_dir, "part"), ["p_size"]).select("v", F.col("rank").cast("long").alias("rank"), "n")
+    return correlations.spread_ranks(correlations.values(table(spark, sf_dir, "part"), ["p_size"]), 1).select("v", F.col("rank").cast("long").alias("rank"), "n")
 
 
 MISSING = ("event_type", "value", "note")

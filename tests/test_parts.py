@@ -80,7 +80,7 @@ def test_quantiles_by_narrowing_are_exact(spark, few):
 
 def test_ranks_without_a_single_sort(spark):
     df = spark.createDataFrame([(x,) for x in [3.0, 1.0, None, 2.0, 2.0, None, 5.0]], "x double").repartition(3)
-    assert {(r.v, r["rank"], r.n) for r in correlations.spread_ranks(df, ["x"]).collect()} == {(1.0, 1, 1), (2.0, 2, 2), (3.0, 4, 1), (5.0, 5, 1), (None, 6, 2)}
+    assert {(r.v, r["rank"], r.n) for r in correlations.spread_ranks(correlations.values(df, ["x"]), 1).collect()} == {(1.0, 1, 1), (2.0, 2, 2), (3.0, 4, 1), (5.0, 5, 1), (None, 6, 2)}
 
 
 def test_monotonic_across_tasks(spark):
