@@ -27,22 +27,31 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 OP3 = rf"""
 WITH RECURSIVE l AS (
-  SELECT conv_id, turn, i, line, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
-    translate(trim(regexp_replace(regexp_replace(line, '^(?:[ \t]*>)+', ''), '[\x20\x09-\x0D]+', ' ', 'g')), '{UPPER}', '{LOWER}') AS norm
-  FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM conversations)),
-origin AS (SELECT conv_id, norm, min(turn) AS origin FROM l WHERE level = 0 AND norm <> '' AND turn IS NOT NULL GROUP BY ALL),
-found AS (SELECT l.conv_id, l.turn, l.level, o.origin FROM l JOIN origin o ON l.conv_id IS NOT DISTINCT FROM o.conv_id AND l.norm = o.norm WHERE l.level > 0 AND o.origin < l.turn),
+  SELECT mid, conv_id, turn, i, line, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+    translate(trim(regexp_replace(regexp_replace(line, '^(?:[ \t]*>)+', ''), '[\x00-\x20]+', ' ', 'g')), '{UPPER}', '{LOWER}') AS norm
+  FROM (SELECT row_number() OVER () AS mid, conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM conversations)),
+opened AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY mid ORDER BY i) THEN 0 ELSE 1 END AS o FROM l),
+numbered AS (SELECT *, sum(o) OVER (PARTITION BY mid ORDER BY i) AS run FROM opened),
+runs AS (SELECT conv_id, turn, level, trim(regexp_replace(string_agg(norm, ' ' ORDER BY i), ' +', ' ', 'g')) AS t FROM numbered GROUP BY mid, conv_id, turn, level, run),
+passages AS (
+  SELECT DISTINCT conv_id, turn, level, norm FROM (
+    SELECT conv_id, turn, level, norm FROM l UNION ALL
+    SELECT conv_id, turn, level, trim(unnest(string_split(regexp_replace(t, '([.!?…。！？]) +', '\1' || chr(1), 'g'), chr(1)))) FROM runs)
+  WHERE norm <> '' AND turn IS NOT NULL),
+origin AS (SELECT conv_id, norm, min(turn) AS origin FROM passages WHERE level = 0 GROUP BY ALL),
+found AS (SELECT p.conv_id, p.turn, p.level, o.origin FROM passages p JOIN origin o ON p.conv_id IS NOT DISTINCT FROM o.conv_id AND p.norm = o.norm WHERE p.level > 0 AND o.origin < p.turn),
 parent AS (SELECT conv_id, turn, origin AS reply_to FROM (SELECT conv_id, turn, origin, row_number() OVER (PARTITION BY conv_id, turn ORDER BY count(*) DESC, origin DESC) AS k FROM found WHERE level = 1 GROUP BY conv_id, turn, origin) WHERE k = 1),
 turns AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn IS NOT NULL),
 tree AS (
-  SELECT t.conv_id, t.turn, NULL::BIGINT AS reply_to, t.turn AS thread, lpad(t.turn::VARCHAR, 12, '0') AS order_key FROM turns t LEFT JOIN parent p ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.turn = p.turn WHERE p.turn IS NULL
+  SELECT t.conv_id, t.turn, NULL::BIGINT AS reply_to, t.turn AS thread, [t.turn] AS way FROM turns t LEFT JOIN parent p ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.turn = p.turn WHERE p.turn IS NULL
   UNION ALL
-  SELECT p.conv_id, p.turn, p.reply_to, t.thread, t.order_key || '/' || lpad(p.turn::VARCHAR, 12, '0') FROM parent p JOIN tree t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.turn = p.reply_to),
-shape AS (SELECT conv_id, turn, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0), '')) AS body, count(*) FILTER (WHERE level > 0 AND norm <> '') AS n_quoted, max(level)::BIGINT AS quote_depth FROM l GROUP BY conv_id, turn),
+  SELECT p.conv_id, p.turn, p.reply_to, t.thread, list_append(t.way, p.turn) FROM parent p JOIN tree t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.turn = p.reply_to),
+placed AS (SELECT conv_id, turn, reply_to, thread, row_number() OVER (PARTITION BY conv_id, thread ORDER BY way) - 1 AS position FROM tree),
+shape AS (SELECT mid, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0), '')) AS body, count(*) FILTER (WHERE level > 0 AND norm <> '') AS n_quoted, max(level)::BIGINT AS quote_depth FROM l GROUP BY mid),
 counted AS (SELECT conv_id, turn, count(*) AS n_found FROM found GROUP BY conv_id, turn)
-SELECT c.conv_id, c.turn, c.role, s.body, s.n_quoted, s.quote_depth, coalesce(k.n_found, 0)::BIGINT AS n_found, t.reply_to, t.thread, coalesce(t.order_key, '') AS order_key
-FROM conversations c JOIN shape s ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.turn IS NOT DISTINCT FROM s.turn
-LEFT JOIN tree t ON c.conv_id IS NOT DISTINCT FROM t.conv_id AND c.turn = t.turn LEFT JOIN counted k ON c.conv_id IS NOT DISTINCT FROM k.conv_id AND c.turn = k.turn
+SELECT c.conv_id, c.turn, c.role, s.body, s.n_quoted, s.quote_depth, coalesce(k.n_found, 0)::BIGINT AS n_found, t.reply_to, t.thread, t.position::BIGINT AS position
+FROM (SELECT row_number() OVER () AS mid, * FROM conversations) c JOIN shape s USING (mid)
+LEFT JOIN placed t ON c.conv_id IS NOT DISTINCT FROM t.conv_id AND c.turn = t.turn LEFT JOIN counted k ON c.conv_id IS NOT DISTINCT FROM k.conv_id AND c.turn = k.turn
 """
 
 OP4 = f"""
