@@ -13,12 +13,15 @@ Documents whose whole text an earlier one has are covered from end to end and le
 3. *compare neighbours*: of each run of equal prefixes the first position in document order
    stays, and what the others cover is removed.
 
-Order inside a bucket is that of 64-bit prefix fingerprints, not of bytes: adjacency of equal
+Order inside a bucket is that of prefix fingerprints, not of bytes: adjacency of equal
 prefixes is all that is used. See the README for why the full recursion does not fit the disk.
 
-Documents are cut into pieces by ranges of doc_id, so "earlier" between pieces is the order of
-pieces and keys travel without positions. Nulls: a null text is empty; a null doc_id comes first.
+Documents are cut into pieces by ranges of doc_id and text, so "earlier" between pieces is the order
+of pieces and keys travel without positions. Nulls: a null text is empty; a null doc_id comes first.
 Rows that repeat a doc_id are documents in the order of their text. Matches never cross documents.
+An empty table gives no rows; extra columns are ignored, whatever their names. A text of any length
+is one document of one piece, and is read whole. What is removed is decided by 96-bit keys: of n
+candidate prefixes some n^2 / 2^97 pairs collide by chance, below 1e-2 for 10^13 of them.
 """
 
 from __future__ import annotations
@@ -41,16 +44,14 @@ SAMPLE_BITS = 50
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 #: One fixed random 64-bit number for each byte value.
 TABLE = census.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+TABLE2 = census.mixed(TABLE)
 
 
 class Piece:
     """The bytes of a piece's documents, one after the other, in document order."""
 
     def __init__(self, table: pa.Table):
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        ids = table["doc_id"].to_numpy(zero_copy_only=False).astype(float) if table["doc_id"].null_count else None
-        if ids is not None:  # nulls first
-            table = table.take(pa.array(np.argsort(np.where(np.isnan(ids), -np.inf, ids), kind="stable")))
+        table = table.sort_by("row")
         self.doc_ids = table["doc_id"]
         texts = pc.fill_null(table["text"], "").cast(pa.large_binary())
         self.n = pc.binary_length(texts).to_numpy().astype(np.int64)
@@ -58,15 +59,16 @@ class Piece:
         self.end = np.cumsum(self.n)
         self.begin = self.end - self.n
 
-    def rolled(self, width: int, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def rolled(self, width: int, use: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of the windows that start where ``use`` is true."""
-        roller, starts = census.Roller(width), np.flatnonzero(use).astype(np.int32)
+        roller, starts = census.Roller(width, census.Roller.SECOND) if second else census.Roller(width), np.flatnonzero(use).astype(np.int32)
+        codes = TABLE2 if second else TABLE
         segments = list(roller.segments(len(self.buf)))
         cuts = np.searchsorted(starts, np.array([b for _, b in segments], np.int32)).tolist()
         found = []
         for (a, b), done, upto in zip(segments, [0, *cuts], cuts, strict=False):
             if upto > done:
-                found.append(roller.hashes(TABLE[self.buf[a : b + width - 1]], starts[done:upto] - a))
+                found.append(roller.hashes(codes[self.buf[a : b + width - 1]], starts[done:upto] - a))
         return starts, np.concatenate(found) if found else np.empty(0, np.uint64)
 
     def inside(self, width: int) -> np.ndarray:
@@ -91,33 +93,36 @@ def sample_keys(piece: Piece, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, h >> np.uint64(64 - SAMPLE_BITS)
 
 
-def candidate_keys(piece: Piece, names: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and keys of the suffixes with a repeated sample in reach."""
+Suffixes = tuple[np.ndarray, np.ndarray, np.ndarray]  # starts, keys, second hashes
+
+
+def candidate_keys(piece: Piece, names: np.ndarray, length: int, window: int) -> Suffixes:
+    """Starts, keys and second hashes of the suffixes with a repeated sample in reach."""
     if not len(names):
-        return np.empty(0, np.int32), np.empty(0, np.uint64)
+        return np.empty(0, np.int32), np.empty(0, np.uint64), np.empty(0, np.uint32)
     starts, keys = sample_keys(piece, length)
     at = starts[census.member(keys, names)]
     reach = np.bincount(np.maximum(at - (PERIOD - 1), 0), minlength=len(piece.buf) + 1).astype(np.int32)
     reach -= np.bincount(at + 1, minlength=len(piece.buf) + 1)
-    return piece.rolled(window, (np.cumsum(reach[:-1], dtype=np.int32) > 0) & piece.inside(window))
+    use = (np.cumsum(reach[:-1], dtype=np.int32) > 0) & piece.inside(window)
+    starts, keys = piece.rolled(window, use)
+    return starts, keys, (piece.rolled(window, use, second=True)[1] >> np.uint64(32)).astype(np.uint32)
 
 
-def later_copies(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id of the documents whose whole text is that of a smaller doc_id: every byte of theirs is covered.
+def later_copies(dealt: DataFrame, window: int) -> DataFrame:
+    """(piece, row) of the documents whose whole text an earlier one has: every byte of theirs is covered.
 
-    Only ids that one row has, and texts as long as a window.
+    Only texts as long as a window.
     """
-    d = docs.where(F.octet_length("text") >= window).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    first = d.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = d.join(first, "sha").where("doc_id > first_id").select("doc_id")
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    return copies.join(repeated, "doc_id", "left_anti")
+    d = dealt.where(F.octet_length("text") >= window).select("piece", "row", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    first = d.groupBy("sha").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
+    return d.join(first, "sha").where("row > first").select("piece", "row")
 
 
 def without(table: pa.Table, replies: pa.Table) -> tuple[pa.Table, pa.Table]:
     """A piece's documents without the later copies, and those copies."""
-    ids = replies["doc_id"].drop_null()
-    copy = pc.fill_null(pc.is_in(table["doc_id"], value_set=ids.combine_chunks() if len(ids) else pa.array([], pa.int64())), False)
+    rows = replies["row"].drop_null()
+    copy = pc.is_in(table["row"], value_set=rows.combine_chunks() if len(rows) else pa.array([], pa.int64()))
     return table.filter(pc.invert(copy)), table.filter(copy)
 
 
@@ -126,18 +131,19 @@ def remove_repeats(docs: DataFrame, window: int = 100, piece_bytes: int = census
     if window < PERIOD + 7:
         raise ValueError(f"window must be at least {PERIOD + 7} bytes")
     spark, length = docs.sparkSession, window - PERIOD + 1
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     (total,) = census.sizes(docs, census.text_bytes())
     pieces = max(1, -(-total // piece_bytes))
-    # Pieces are ranges of doc_id; approximate quantiles are enough to make them about equal.
-    cuts = docs.agg(F.percentile_approx("doc_id", F.lit([(i + 1) / pieces for i in range(pieces - 1)]).cast("array<double>"), max(10_000, 4 * pieces))).first()[0] if pieces > 1 else []
-    expected = total * len(COVER) // PERIOD + 1
-    buckets = int(max(1, min(-(-expected // census.BUCKET_KEYS), expected // pieces // census.LEAST_KEYS + 1)))
-    edges = sorted(set(cuts or []))
-    number = F.size(F.filter(F.lit(edges).cast("array<bigint>"), lambda x: x < F.col("doc_id"))) if edges else F.lit(0)
-    piece = F.coalesce(F.when(F.col("doc_id").isNotNull(), number), F.lit(0)).cast("int").alias("piece")
-    dealt = docs.select("doc_id", "text", piece).repartition(len(edges) + 1, "piece")
-    copies, _ = written(later_copies(docs, window).select(piece, F.lit(0).alias("phase"), F.lit(None).cast("binary").alias("keys"), "doc_id"), "op9-copies")
+    buckets = census.Buckets.of(total * len(COVER) // PERIOD + 1, pieces)
+    dealt = census.dealt(docs, pieces, "op9_pieces", ordered=True)
+    released(spark)
+    nothing = {"keys": "binary", "extra": "binary", "row": "long"}
+
+    def reply(df: DataFrame, phase: int) -> DataFrame:
+        """What is sent to the pieces: keys of a phase (1, 2) or rows that leave (0)."""
+        return df.select("piece", F.lit(phase).alias("phase"), *[c if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in nothing.items()])
+
+    copies, _ = written(reply(later_copies(dealt, window), 0), "op9-copies")
     released(spark)
 
     def sample(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -158,16 +164,19 @@ def remove_repeats(docs: DataFrame, window: int = 100, piece_bytes: int = census
         return np.repeat((n > 1) | (np.bitwise_or.reduceat(key & np.uint64(1), starts) > 0), n)
 
     samples = dealt.groupBy("piece").cogroup(copies.groupBy("piece")).applyInArrow(sample, census.PACKED)
-    names, _ = written(census.answered(samples, buckets, equal_neighbours, flag_bits=1), "op9-names")
+    names, _ = written(census.answered(samples, buckets, equal_neighbours, 1, SAMPLE_BITS + 1), "op9-names")
     del samples
     released(spark)
-    replies = copies.unionByName(names.select("piece", F.lit(1).alias("phase"), "keys", F.lit(None).cast("long").alias("doc_id")))
+    replies = copies.unionByName(reply(names, 1))
 
     def merge(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return census.packed_table([], [], [])
-        _, keys = candidate_keys(Piece(without(table, replies)[0]), census.received(replies.filter(pc.equal(replies["phase"], 1))), length, window)
-        return census.sent(key[0].as_py(), np.unique(keys), buckets)
+        _, keys, extra = candidate_keys(Piece(without(table, replies)[0]), census.received(of_phase(replies, 1))[0], length, window)
+        order = np.lexsort((extra, keys))
+        keys, extra = keys[order], extra[order]
+        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (extra[1:] != extra[:-1])))) if len(keys) else order
+        return census.sent(key[0].as_py(), keys[first], buckets, extra=extra[first])
 
     def not_first(key: np.ndarray, piece: np.ndarray, starts: np.ndarray) -> np.ndarray:
         # Pieces come sorted inside a group: all but the first hold a later copy.
@@ -179,16 +188,15 @@ def remove_repeats(docs: DataFrame, window: int = 100, piece_bytes: int = census
     later, _ = written(census.answered(suffixes, buckets, not_first), "op9-later")
     del suffixes
     released(spark)
-    replies = replies.unionByName(later.select("piece", F.lit(2).alias("phase"), "keys", F.lit(None).cast("long").alias("doc_id")))
+    replies = replies.unionByName(reply(later, 2))
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return result(pa.array([], pa.int64()), [], [], [], [])
         table, copy = without(table, replies)
         p, copy = Piece(table), Piece(copy)
-        known = [census.received(replies.filter(pc.equal(replies["phase"], k))) for k in (1, 2)]
-        starts, keys = candidate_keys(p, known[0], length, window)
-        at = starts[repeats(keys, known[1])]
+        starts, keys, extra = candidate_keys(p, census.received(of_phase(replies, 1))[0], length, window)
+        at = starts[repeats(keys, extra, *census.received(of_phase(replies, 2)))]
         cover = np.bincount(at, minlength=len(p.buf) + 1).astype(np.int32)
         cover -= np.bincount(at + window, minlength=len(p.buf) + 1)
         gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
@@ -205,19 +213,19 @@ def remove_repeats(docs: DataFrame, window: int = 100, piece_bytes: int = census
     return dealt.groupBy("piece").cogroup(replies.groupBy("piece")).applyInArrow(cut, OUT)
 
 
-def repeats(keys: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+def of_phase(replies: pa.Table, phase: int) -> pa.Table:
+    return replies.filter(pc.equal(replies["phase"], phase))
+
+
+def repeats(keys: np.ndarray, extra: np.ndarray, earlier: np.ndarray, earlier_extra: np.ndarray) -> np.ndarray:
     """Which suffixes aren't the first with their prefix: those after the first here, or all if an earlier piece has it."""
     out = np.zeros(len(keys), bool)
     if not len(keys):
         return out
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    group = np.cumsum(first) - 1
-    at = np.minimum(np.searchsorted(ordered, earlier), len(keys) - 1)
-    found = np.zeros(group[-1] + 1, bool)
-    found[group[at[ordered[at] == earlier]]] = True
-    out[order] = ~first | found[group]
+    order = np.lexsort((extra, keys))  # stable: equal ones stay in the order of their starts
+    keys, extra = keys[order], extra[order]
+    first = np.concatenate(([True], (keys[1:] != keys[:-1]) | (extra[1:] != extra[:-1])))
+    out[order] = ~first | census.member(keys, earlier, extra, earlier_extra)
     return out
 
 
