@@ -56,6 +56,35 @@ def test_pack_keeps_keys():
         assert (census.unpack(census.pack(keys)) == keys).all()
 
 
+def test_buckets_grow_with_the_keys():
+    """What a bucket holds is bounded at every size, and rows grow in proportion to the keys."""
+    for tb in (1e-3, 0.03, 1, 100):
+        total = int(tb * 1e12)
+        pieces = max(1, -(-total // census.PIECE_BYTES))
+        b = census.Buckets.of(total // 6, pieces)
+        assert total // 6 / (b.coarse * b.fine) <= census.BUCKET_KEYS
+        assert total // 6 / (b.coarse * -(-pieces // b.run)) <= 1.01 * census.BUCKET_KEYS
+        assert pieces * b.coarse <= total / 6 / census.LEAST_KEYS + pieces
+
+
+@pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup])
+def test_repeats_through_coarse_and_fine_buckets(docs, rows, operator, monkeypatch):
+    monkeypatch.setattr(census, "BUCKET_KEYS", 300)
+    monkeypatch.setattr(census, "LEAST_KEYS", 200)
+    seen = []
+    of = census.Buckets.of
+    monkeypatch.setattr(census.Buckets, "of", lambda keys, pieces: seen.append(of(keys, pieces)) or seen[-1])
+    got = {r.doc_id: r.n_removed for r in operator.remove_repeats(docs, piece_bytes=9000).collect()}
+    assert got == {d: v[1] for d, v in operator.brute_force(rows).items()}
+    assert seen[0].fine > 1
+
+
+def test_second_hashes_tell_equal_keys_apart():
+    of, of_extra = np.array([5, 5, 5, 9], np.uint64), np.array([1, 3, 7, 2], np.uint32)
+    got = census.member(np.array([5, 5, 5, 9, 9, 4], np.uint64), of, np.array([7, 2, 1, 2, 3, 1], np.uint32), of_extra)
+    assert got.tolist() == [True, False, True, True, False, False]
+
+
 def test_rolling_hash_is_a_function_of_the_window():
     x = np.random.default_rng(1).integers(0, 2**63, 100_000, dtype=np.uint64)
     x[70_000:70_050] = x[10:60]
@@ -78,6 +107,8 @@ def test_substring_dedup_of_repeated_ids(spark):
     text = " ".join(vocabulary(50))
     d = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.remove_repeats(d).collect()) == [(0, 50), (1, 50), (1, 50), (2, 0)]
+    clash = d.withColumns({"row": F.lit(1), "piece": F.lit("x"), "keys": F.lit(None)})
+    assert sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.remove_repeats(clash, piece_bytes=200).collect()) == [(0, 50), (1, 50), (1, 50), (2, 0)]
 
 
 @pytest.mark.parametrize("piece_bytes", [census.PIECE_BYTES, 3000])
@@ -95,6 +126,8 @@ def test_suffix_dedup_inside_one_document_and_of_repeated_ids(spark):
     n = len(text.encode())
     # The null comes first and keeps its text; what follows is covered but for the seam of the doubled text.
     assert found[0] == (0, 0) and found[2:] == [(5, n), (5, n), (6, n)] and found[1] == (1, 2 * n)
+    clash = d.withColumns({"row": F.lit(1), "piece": F.lit("x"), "phase": F.lit(None)})
+    assert sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup.remove_repeats(clash, piece_bytes=300).collect()) == found
 
 
 def test_difference_cover_has_every_shift():
@@ -351,6 +384,33 @@ def test_gray_tree_finds_all_pairs(words_):
         assert (np.diff(simhash_dedup.gray_rank(fp[:, 0]).astype(object)) >= 0).all()
 
 
+def test_parity_maps_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for n, m in ((0, 3), (40, 40), (70, 60), (1000, 900), (3000, 1)):
+        a, b = (np.unique(rng.integers(0, 2**63, k, dtype=np.uint64)) for k in (n, m))
+        b = np.unique(np.concatenate((b, a[: n // 2])))
+        apart = simhash_dedup.differing([simhash_dedup.parity_map(a)], [simhash_dedup.parity_map(b)])[0]
+        assert apart <= len(np.setxor1d(a, b))
+        assert (simhash_dedup.folded([simhash_dedup.parity_map(a)], 8) == simhash_dedup.folded([simhash_dedup.folded([simhash_dedup.parity_map(a)], 8).tobytes()], 8)).all()
+
+
+def test_similar_groups_of_one_hot_shingle(spark):
+    """Texts of all lengths that share their rarest shingle, a few of them near copies: the tree finds what brute force finds."""
+    rng, words = random.Random(12), vocabulary(60, 5)
+    data = {}
+    for i in range(120):
+        own = [rng.choice(words) for _ in range(rng.choice([6, 20, 70, 200, 1500]))]
+        data[i] = " ".join(["rare", "beginning", "of", "all", "texts", *own])
+        if i % 3 == 0:
+            edited = [w if rng.random() > 0.025 else "edit" for w in own]
+            data[1000 + i] = " ".join(["rare", "beginning", "of", "all", "texts", *edited])
+    near = [(a, b) for a in data for b in data if a < b and jaccard(data[a], data[b]) >= 0.8]
+    want = {i: r for i, r in components(data, near).items() if i != r}
+    d = spark.createDataFrame(list(data.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_groups(d).where("doc_id <> component_id").collect()}
+    assert got == want and 10 < len(want) < 40
+
+
 def test_mixing(spark, docs, rows):
     out = mixing.mixed(docs, shard_rows=5).collect()
     size = {}
@@ -413,6 +473,37 @@ def test_url_model_needs_a_bounded_table():
         url_filter.fitted([("a", "/", 0)] * (url_filter.MAX_LABELLED + 1))
 
 
+def test_url_model_on_words_and_addresses_it_has_not_seen():
+    """Half of the addresses of each word train; the others, on other hosts and paths, are judged. Words left out altogether are known only by their parts."""
+    rows = list(url_filter.LABELLED)
+    weights = url_filter.fitted(rows[::2])
+    p = url_filter.probabilities(weights, [h for h, _, _ in rows[1::2]], [q for _, q, _ in rows[1::2]])
+    y = np.array([label for _, _, label in rows[1::2]])
+    hit = (p >= 0.5) & (y == 1)
+    assert hit.sum() / max(1, (p >= 0.5).sum()) >= 0.9 and hit.sum() / y.sum() >= 0.8
+    weights = url_filter.fitted()
+    unseen = ["lake.example.com", "www.thnder.example.net", "m.ertion.example.org", "blog.castle.example.com"]
+    assert (url_filter.probabilities(weights, unseen, ["/en/3", "/de/5.html", "/fr/7/", "/es/2"]) < 0.5).all()
+
+
+def test_url_rules_match_sql(spark):
+    import duckdb
+
+    urls = [f"{scheme}{host}{path}" for scheme in ("http://", "HTTPS://", "") for host in ("example.org", "A.Example.org", "x.com", "com", "notcom", "a.b.org", "de") for path in ("", "/", "/es/1?x", "/en/12", "/en/2", "/fr/", "/FR/", "/de/3#t", "?/de/")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit(1)).withColumn("probability", F.lit("x"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict if r.rule else None) for r in url_filter.judged(pages).collect()}
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(urls)))
+    con.execute("create table rules (rule varchar, verdict varchar)")
+    con.executemany("insert into rules values (?, ?)", [list(r) for r in url_filter.RULES])
+    sql = """WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+    h AS (SELECT page_id, lower(regexp_extract(r, '^[^/?#]*')) AS host, regexp_extract(regexp_replace(r, '^[^/?#]*', ''), '^[^?#]*') AS path FROM p),
+    m AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS k FROM h JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))))
+    SELECT h.page_id, host, path, rule, verdict FROM h LEFT JOIN m ON h.page_id = m.page_id AND k = 1"""
+    assert got == {r[0]: tuple(r[1:]) for r in con.execute(sql).fetchall()}
+
+
 BODY = "<p>First sentence, of some length, with marks. And another one, also long enough to read.</p><p>Short.</p><p>Third &amp; last paragraph, which has\n  enough text. It ends here.</p>"
 TEXT = "First sentence, of some length, with marks. And another one, also long enough to read. Short. Third & last paragraph, which has enough text. It ends here."
 
@@ -433,9 +524,63 @@ def test_html_extraction(page):
 def test_html_extraction_of_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "a"), (2, "u", "", "b"), (3, None, "plain &lt;text&gt; here", "c"), (4, "u", "<p>open <b>bold<br>next<p>second", "d"), (4, "u", "<script>only", "e"), (5, "u", "<div>" * 300 + "deep" + "</div>" * 300, "f")], "page_id long, url string, html string, text string")
     got = sorted(((r.page_id, r.text, r.n_chars) for r in html_extract.extracted(pages).collect()), key=str)
+    assert html_extract.extracted(pages.limit(0)).count() == 0
     assert got == sorted([(1, "", 0), (2, "", 0), (3, "plain <text> here", 17), (4, "open bold next second", 21), (4, "", 0), (5, "deep", 4)], key=str)
 
 
+def plain_page(rng, words):
+    """A page whose elements have no telling names: menu, box, article and footer are divs; and the article's text."""
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    title, parts = some(5), [f"{some(rng.randint(20, 60))}, {some(8)}. {some(rng.randint(4, 30))}." for _ in range(rng.randint(3, 6))] + [some(2) + "."]
+    menu = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in words[:6])
+    page = f"<html><body><div><ul>{menu}</ul></div><div>{some(10)}. {some(4)}.</div><div><h1>{title}</h1>{''.join(f'<p>{x}</p>' for x in parts)}</div><div>&copy; {some(3)}, {some(9)}.</div></body></html>"
+    return page, " ".join([title, *parts])
+
+
+def test_html_extraction_goes_by_tag_path_ratios(monkeypatch):
+    """Without article elements and class names; with every path scored alike the method finds less."""
+    rng, words = random.Random(21), vocabulary(300, 6)
+    pages = [plain_page(rng, words) for _ in range(100)]
+    right = sum(html_extract.article(p) == t for p, t in pages)
+    monkeypatch.setattr(html_extract, "path_scores", lambda blocks: {n.path: 1.0 for n, _, _ in blocks})
+    blind = sum(html_extract.article(p) == t for p, t in pages)
+    assert right >= 95 and blind <= right - 30
+
+
+def test_tag_path_ratios_match_a_plain_aggregation():
+    rng = random.Random(3)
+    for _ in range(20):
+        page, _ = plain_page(rng, vocabulary(300, 6))
+        blocks = html_extract.Page(page).blocks
+
+        def path(node):
+            return (path(node.parent) if node.parent else ()) + (node.tag,)
+
+        groups = {}
+        for node, text, links in blocks:
+            groups.setdefault(path(node), []).append((len(text) - links, sum(c in ".,;:!?" for c in text)))
+        order = list(groups)
+        means = [[sum(x[i] for x in g) / len(g) for g in groups.values()] for i in (0, 1)]
+        weigh = lambda i, j: np.exp(-((i - j) ** 2) / 2) if abs(i - j) <= 2 else 0.0
+        smooth = [[sum(weigh(i, j) * m[j] for j in range(len(order))) / sum(weigh(i, j) for j in range(len(order))) for i in range(len(order))] for m in means]
+        want = {p: smooth[0][i] * (1 + smooth[1][i]) for i, p in enumerate(order)}
+        scores = html_extract.path_scores(blocks)
+        got = {path(node): scores[node.path] for node, _, _ in blocks}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 * max(1, want[p]) for p in want)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 40_000 + "x", "<div>x" * 20_000, '<a "' * 20_000, '<a "' * 20_001 + ">", "<ul>" + "<div>" * 10_000 + "<li>x</li>" * 10_000, "<div>" * 10_000 + "</p></section>" * 10_000, "<!" * 40_000, "<a" * 40_000, "<script>" * 20_000, "<!--" * 20_000, "<p>" * 40_000 + "x", "&amp;" * 100_000],
+)
+def test_html_extraction_of_long_and_broken_pages_is_linear(page):
+    import time
+
+    began = time.process_time()
+    html_extract.article(page)
+    assert time.process_time() - began < 4
+
+
 def marginals_by_hand(e, chain):
     """All label sequences of a short chain."""
     import itertools
@@ -512,24 +657,116 @@ def test_chat_threads(spark):
         (3, 0, "user", None),
     ]
     c = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("reply_to", F.lit(9))
-    got = {(r.conv_id, r.turn): (r.body, r.n_quoted, r.quote_depth, r.n_found, r.reply_to, r.thread, r.order_key.replace("00000000000", "")) for r in chat_threads.threaded(c).collect()}
-    assert got[1, 1] == ("Fine.", 1, 1, 1, 0, 0, "0/1")
-    assert got[1, 2] == ("Good.", 2, 2, 2, 1, 0, "0/1/2")
-    assert got[1, 3] == ("Hm.", 1, 1, 0, None, 3, "3")
-    assert got[1, 4] == ("Back to the start.", 2, 1, 2, 0, 0, "0/4")
+    got = {(r.conv_id, r.turn): (r.body, r.n_quoted, r.quote_depth, r.n_found, r.reply_to, r.thread, r.position) for r in chat_threads.threaded(c).collect()}
+    assert got[1, 1] == ("Fine.", 1, 1, 1, 0, 0, 1)
+    assert got[1, 2] == ("Good.", 2, 2, 2, 1, 0, 2)
+    assert got[1, 3] == ("Hm.", 1, 1, 0, None, 3, 0)
+    assert got[1, 4] == ("Back to the start.", 2, 1, 2, 0, 0, 3)
     assert got[2, 1][3:5] == (0, None)
-    assert got[None, 1][3:6] == (1, 0, 0)
+    assert got[None, 1][3:] == (1, 0, 0, 1)
+    assert got[3, None][4:] == (None, None, None)
     assert chat_threads.threaded(c).count() == len(data)
     assert chat_threads.threaded(c.limit(0)).count() == 0
-    ordered = [r.formatted for r in chat_threads.conversation_text(c).where("conv_id = 1").orderBy("order_key").collect()]
+    ordered = [r.formatted for r in chat_threads.conversation_text(c).where("conv_id = 1").orderBy("thread", "position").collect()]
     assert [x.split("\n")[1] for x in ordered] == ["How are you?", "Fine.", "Good.", "Back to the start.", "Hm."]
 
 
-def test_long_reply_chain(spark):
-    data = [(1, i, "user", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(40)]
+def test_quotes_that_are_wrapped_anew_or_taken_out_of_a_line(spark):
+    data = [
+        (1, -5, "user", "A first sentence that is long. A second one follows here! And a third"),
+        (1, 10**13, "user", "> A first sentence\n>  that is long.\nYes."),
+        (1, 10**13 + 1, "user", "> A second one\n> follows here! And a third\n>> A first sentence that\n>> is long.\nNo."),
+        (1, 10**13 + 2, "user", "> A second one\n\n> follows here!\nA run ends at a blank own line."),
+    ]
     c = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
-    got = {r.turn: r for r in chat_threads.threaded(c).collect()}
-    assert got[39].thread == 0 and got[39].order_key.count("/") == 39
+    got = [(r.n_found, r.reply_to, r.thread, r.position) for r in chat_threads.threaded(c).orderBy("turn").collect()]
+    assert got == [(0, None, -5, 0), (1, -5, -5, 1), (3, -5, -5, 2), (0, None, 10**13 + 2, 0)]
+
+
+def brute_threads(data):
+    """{(conv_id, turn): (n_found, reply_to, thread, position)} in plain Python."""
+    out, talks = {}, {}
+    for conv, turn, _, text in data:
+        talks.setdefault(conv, {})[turn] = text
+    for conv, talk in talks.items():
+        own, children, parent = {}, {}, {}
+        for turn in sorted(talk):
+            runs, units = [], {}
+            for line in talk[turn].split("\n"):
+                marks = re.match(r"(?:[ \t]*>)*", line)[0]
+                level, norm = marks.count(">"), " ".join(line[len(marks) :].lower().split())
+                units.setdefault(level, set()).add(norm)
+                if runs and runs[-1][0] == level:
+                    runs[-1][1] += " " + norm
+                else:
+                    runs.append([level, norm])
+            for level, text in runs:
+                units.setdefault(level, set()).update(re.split(r"(?<=[.!?]) +", " ".join(text.split())))
+            votes, found = {}, 0
+            for level, group in units.items():
+                for u in group - {""}:
+                    if level and u in own:
+                        found += 1
+                        if level == 1:
+                            votes[own[u]] = votes.get(own[u], 0) + 1
+            for u in units.get(0, set()) - {""}:
+                own.setdefault(u, turn)
+            out[conv, turn] = [found, None, turn, 0]
+            if votes:
+                out[conv, turn][1] = parent[turn] = max(votes, key=lambda o: (votes[o], o))
+                children.setdefault(parent[turn], []).append(turn)
+        for root in set(talk) - set(parent):
+            stack, at = [root], 0
+            while stack:
+                turn = stack.pop()
+                out[conv, turn][2:] = [root, at]
+                at += 1
+                stack += sorted(children.get(turn, []), reverse=True)
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def generated_talks():
+    """Thousands of messages that quote each other: trees, a long chain, and one turn that hundreds answer."""
+    rng, words, data = random.Random(31), vocabulary(800, 7), []
+
+    def sentence():
+        return " ".join(rng.choice(words) for _ in range(rng.randint(3, 9))).capitalize() + rng.choice(".!?")
+
+    for conv in range(120):
+        said = []
+        for turn in range(400 if conv < 2 else rng.randint(1, 30)):
+            own = [" ".join(sentence() for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 3))]
+            quotes = []
+            if said and rng.random() < 0.8:
+                to = said[-1] if conv == 0 else said[0] if conv == 1 else rng.choice(said)
+                picked = rng.choice(to["own"])
+                cut = picked.split()
+                at = rng.randint(1, len(cut))
+                quotes = rng.choice([[f"> {picked}"], [f"> {' '.join(cut[:at])}", f">{' '.join(cut[at:])}"], [f"> {re.split(r'(?<=[.!?]) ', picked)[-1]}"]])
+                quotes += [f">{q}" for q in to["quotes"][:2]]
+                quotes += [f"> {sentence()}"] * rng.randint(0, 1)
+            said.append({"own": own, "quotes": quotes})
+            data.append((conv, 3 * turn, "user", "\n".join(quotes + own)))
+    return data
+
+
+def test_threads_match_brute_force_and_sql(spark, tmp_path):
+    import duckdb
+
+    from tablescope.llm.oracles import ORACLE_SQL
+
+    data = generated_talks()
+    c = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(4)
+    rows = chat_threads.threaded(c).collect()
+    got = {(r.conv_id, r.turn): (r.n_found, r.reply_to, r.thread, r.position) for r in rows}
+    want = brute_threads(data)
+    assert got == want and sum(v[1] is not None for v in want.values()) > 1000
+    c.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    found = con.execute(ORACLE_SQL["op3_chat_threads"])
+    names = [d[0] for d in found.description]
+    assert sorted(tuple(r[n] for n in names) for r in rows) == sorted(found.fetchall())
 
 
 def test_empty_tables(none):
