@@ -35,13 +35,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--theme", choices=("default", "ydata-like"), default="default")
     p.add_argument("--format", choices=("html", "json"), dest="output_format", help="overrides the extension")
     p.add_argument("--offline", action=argparse.BooleanOptionalAction, default=True, help="the page is always self-contained")
+    p.add_argument("--multiline", action="store_true", help="values of a CSV file may hold line breaks (the file is then read by one task)")
     p.add_argument("--debug", action="store_true", help="print the time of each phase")
     return p
 
 
 def main(arguments: list[str] | None = None) -> int:
     a = vars(parser().parse_args(arguments))
-    path, output, theme, form, offline, debug = (a.pop(k) for k in ("file_path", "output", "theme", "output_format", "offline", "debug"))
+    path, output, theme, form, offline, multiline, debug = (a.pop(k) for k in ("file_path", "output", "theme", "output_format", "offline", "multiline", "debug"))
     try:
         from pyspark.sql import SparkSession
 
@@ -53,7 +54,7 @@ def main(arguments: list[str] | None = None) -> int:
         def say(step: int, label: str | None) -> None:
             print(f"{label or ''} (+{step} %)", file=sys.stderr)
 
-        report = profile(read_any(spark, path), say, **a)
+        report = profile(read_any(spark, path, multiline), say, **a)
         if debug:
             for name, ms in report.analysis["performance"].items():
                 print(f"{name}: {ms:.0f} ms", file=sys.stderr)
@@ -66,3 +67,8 @@ def main(arguments: list[str] | None = None) -> int:
         return 1
     print(f"Report written to {output}")
     return 0
+
+
+def script() -> None:
+    """The console script."""
+    sys.exit(main())

@@ -47,7 +47,7 @@ PATTERNS = {
     "StockTicker": r"^[A-Z]{1,5}$",
 }
 VOCABULARIES = {
-    "USState": "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split(),
+    "USState": ["AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC"],
     "USTerritory": ["PR", "VI", "GU", "AS", "MP"],
     "USMilitaryMail": ["AA", "AE", "AP"],
     "Boolean": ["true", "false", "t", "f", "yes", "no", "y", "n", "1", "0"],
@@ -62,7 +62,7 @@ ORDERS = (
     ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"),
     ("mon", "tue", "wed", "thu", "fri", "sat", "sun"),
 )
-PRIORITY = "CreditCard SSN Email IBAN SWIFT TaxID ISIN JSON URL IPAddress DateTime USZipCode PhoneNumber MACAddress USState USTerritory USMilitaryMail CountryCode FilePath Complex Geometry Currency Boolean Age Ordinal Count UUID CUID NanoID Passport LanguageCode Gender Integer Decimal Categorical StockTicker String".split()
+PRIORITY = ["CreditCard", "SSN", "Email", "IBAN", "SWIFT", "TaxID", "ISIN", "JSON", "URL", "IPAddress", "DateTime", "USZipCode", "PhoneNumber", "MACAddress", "USState", "USTerritory", "USMilitaryMail", "CountryCode", "FilePath", "Complex", "Geometry", "Currency", "Boolean", "Age", "Ordinal", "Count", "UUID", "CUID", "NanoID", "Passport", "LanguageCode", "Gender", "Integer", "Decimal", "Categorical", "StockTicker", "String"]
 LABELS = {"SWIFT": "SWIFT/BIC", "TaxID": "Tax ID (EIN)", "IPAddress": "IP Address", "DateTime": "Date Time", "USZipCode": "US Zip Code", "PhoneNumber": "Phone Number", "MACAddress": "MAC Address", "USState": "US State", "USTerritory": "US Territory", "USMilitaryMail": "US Military Mail", "CountryCode": "Country Code", "FilePath": "File Path", "CreditCard": "Credit Card", "StockTicker": "Stock Ticker", "LanguageCode": "Language Code"}
 
 COLUMNS_AT_ONCE = 25

@@ -6,6 +6,7 @@ Floats are rounded alike; every tie has an order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,21 @@ def rounded(build, digits: int = 6):
     return lambda c, k: F.round(build(c, k).cast("double"), digits)
 
 
+def profiled(df: DataFrame, **options):
+    """A finished report."""
+    from ..profiler import profile
+
+    return profile(df, **options).finalize()
+
+
+def significant(x: float | int | None) -> tuple[float, int]:
+    """Seven digits and a power of ten, as numbers of all sizes are compared alike."""
+    if not x:
+        return 0.0, 0
+    power = math.floor(math.log10(abs(x)))
+    return round(x / 10.0**power, 6), power
+
+
 def of(name: str, digits: int | None = None, cast: str | None = None):
     """A registered metric as a part of ``long_form``."""
     m = registry[name]
@@ -156,16 +172,16 @@ def temporal_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH m AS (SELECT avg(o_totalprice) AS mu, stddev_samp(o_totalprice) AS sd FROM orders) SELECT round(avg(power((o_totalprice - mu) / sd, 3)), 6) AS skewness FROM orders, m")
 def skewness_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    mean, std = o.agg(F.avg("o_totalprice"), F.stddev_samp("o_totalprice")).first()
-    z = (F.col("o_totalprice") - F.lit(mean)) / F.lit(std)
-    return o.agg(F.round(F.avg(z * z * z), 6).alias("skewness"))
+    moments = {"o_totalprice": o.agg(F.avg("o_totalprice"), F.stddev_samp("o_totalprice")).first()}
+    found = passes.second_pass(o, moments)
+    return spark.createDataFrame([(round(found["o_totalprice", "skewness"], 6),)], "skewness double")
 
 
 @query("WITH m AS (SELECT avg(o_totalprice) AS mu FROM orders) SELECT round(avg(abs(o_totalprice - mu)), 4) AS mad FROM orders, m")
 def mean_absolute_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    (mean,) = o.agg(F.avg("o_totalprice")).first()
-    return o.agg(F.round(F.avg(F.abs(F.col("o_totalprice") - F.lit(mean))), 4).alias("mad"))
+    found = passes.second_pass(o, {"o_totalprice": (o.agg(F.avg("o_totalprice")).first()[0], None)})
+    return spark.createDataFrame([(round(found["o_totalprice", "mad"], 4),)], "mad double")
 
 
 # --- frequencies ---
@@ -269,7 +285,8 @@ def datetime_histogram_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT min(x)::VARCHAR AS label, count(x) AS n FROM (SELECT CASE WHEN l_linenumber > 0 THEN 7 END AS x FROM lineitem)")
 def constant_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") > 0, 7).alias("x"))
-    return x.agg(F.min("x").cast("string").alias("label"), F.count("x").alias("n"))
+    shape = histogram.shaped({}, *x.agg(F.min("x"), F.max("x"), F.count("x")).first())
+    return spark.createDataFrame([(shape["bins"][0], shape["counts"][0])], "label string, n long")
 
 
 # --- rows ---
@@ -352,7 +369,7 @@ def nullity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interactions_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All points of one pair; the report takes about a thousand of them."""
     p = table(spark, sf_dir, "part")
-    return interactions.sampled(p, ["p_size", "p_retailprice"], 0, 42).select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    return interactions.sampled(p, ["p_size", "p_retailprice"], p.count(), 42, points=p.count()).select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
 
 
 # --- types ---
@@ -461,18 +478,10 @@ def logical_types_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'l_linenumber' AS column_name, CASE WHEN count(DISTINCT l_linenumber) BETWEEN 1 AND 19 THEN 'Categorical' ELSE 'Numeric' END AS report_type FROM lineitem UNION ALL SELECT 'l_quantity', 'Numeric' UNION ALL SELECT 'l_orderkey', CASE WHEN count(DISTINCT l_orderkey) BETWEEN 1 AND 19 THEN 'Categorical' ELSE 'Numeric' END FROM lineitem UNION ALL SELECT 'l_shipdate', 'DateTime' UNION ALL SELECT 'l_returnflag', 'Categorical'")
 def report_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report types after reclassification of whole numbers with few values."""
-    from ..functions.columns import is_integer, report_kind
-
+    """Report types of a profile, after reclassification of whole numbers with few values."""
     df = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity", "l_orderkey", "l_shipdate", "l_returnflag")
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    d = frequency.long_distinct(df, list(df.columns))
-    few = F.col("n_distinct").between(1, 19)
-    kind = F.lit(None).cast("string")
-    for c, k in kinds.items():
-        own = F.lit(report_kind(k, None))
-        kind = F.when(F.col("column_name") == c, F.when(few, "Categorical").otherwise(own) if is_integer(k) else own).otherwise(kind)
-    return d.select("column_name", kind.alias("report_type"))
+    found = profiled(df, minimal=True).variables
+    return spark.createDataFrame([(c, v["type"]) for c, v in found.items()], "column_name string, report_type string")
 
 
 # --- derived ---
@@ -486,23 +495,21 @@ def memory_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH e AS ({DERIVED_EVENTS}), x AS (SELECT CASE WHEN isnan(value) THEN NULL ELSE value END AS v FROM e) SELECT round(1 - count(v) / count(*), 6) AS p_missing, round(count(DISTINCT v) / count(*), 6) AS p_distinct, round(max(v) - min(v), 6) AS range, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(stddev_samp(v) / avg(v), 6) AS cv FROM x")
 def derived_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = safe(F.col("value"), T.DoubleType())
-    n = F.count(F.lit(1))
-    quarter = F.percentile(x, F.lit([0.25, 0.75]))
-    return derived_events(spark, sf_dir).agg(F.round(counted(x.isNull()) / n, 6).alias("p_missing"), F.round(F.count_distinct(x) / n, 6).alias("p_distinct"), F.round(F.max(x) - F.min(x), 6).alias("range"), F.round(quarter[1] - quarter[0], 6).alias("iqr"), F.round(F.stddev_samp(x) / F.avg(x), 6).alias("cv"))
+    v = profiled(derived_events(spark, sf_dir).select("value"), minimal=True).variables["value"]
+    return spark.createDataFrame([tuple(round(v[c], 6) for c in ("p_missing", "p_distinct", "range", "iqr", "cv"))], "p_missing double, p_distinct double, range double, iqr double, cv double")
 
 
 @query(f"WITH e AS ({DERIVED_EVENTS}) SELECT sum((event_type IS NULL)::INT + (value IS NULL OR isnan(value))::INT + (note IS NULL)::INT)::BIGINT AS n_cells_missing, round(sum((event_type IS NULL)::INT + (value IS NULL OR isnan(value))::INT + (note IS NULL)::INT) / (count(*) * 6), 6) AS p_cells_missing, sum(CASE WHEN note = '' THEN 1 ELSE 0 END + CASE WHEN event_type = '' THEN 1 ELSE 0 END)::BIGINT AS n_cells_empty FROM e")
 def table_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived_events(spark, sf_dir)
-    gone = sum((safe(F.col(f.name), f.dataType).isNull().cast("long") for f in e.schema.fields), F.lit(0))
-    empty = sum((F.coalesce((F.col(c) == "").cast("long"), F.lit(0)) for c in ("event_type", "note")), F.lit(0))
-    return e.agg(F.sum(gone).alias("n_cells_missing"), F.round(F.sum(gone) / (F.count(F.lit(1)) * len(e.columns)), 6).alias("p_cells_missing"), F.sum(empty).alias("n_cells_empty"))
+    t = profiled(derived_events(spark, sf_dir), minimal=True).table
+    return spark.createDataFrame([(t["n_cells_missing"], round(t["p_cells_missing"], 6), t["n_cells_empty"])], "n_cells_missing long, p_cells_missing double, n_cells_empty long")
 
 
 @query("SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey LIMIT 10")
 def head_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "region").orderBy("r_regionkey").limit(10)
+    """The head of a profile; the table is sorted, as it has no order of its own."""
+    head = profiled(table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"), minimal=True).sample["head"]
+    return spark.createDataFrame(list(zip(head["r_regionkey"], head["r_name"], strict=True)), "r_regionkey long, r_name string")
 
 
 @query("WITH s AS (SELECT 'user_id' AS column_name, count(DISTINCT user_id) AS d, 0.0 AS p_missing, 'Numeric' AS kind FROM events UNION ALL SELECT 'event_type', count(DISTINCT nullif(event_type, 'error')), avg((event_type = 'error')::INT), 'Categorical' FROM events UNION ALL SELECT 'props', count(DISTINCT props), 0.0, 'Categorical' FROM events UNION ALL SELECT 'one', 1, 0.0, 'Categorical'), a AS (SELECT column_name, CASE WHEN d = 1 THEN 'CONSTANT' WHEN d = (SELECT count(*) FROM events) AND (kind = 'Categorical' OR d < 1000000) THEN 'UNIQUE' WHEN kind = 'Categorical' AND d / (SELECT count(*) FROM events) > 0.5 THEN 'HIGH_CARDINALITY' END AS alert_type FROM s UNION ALL SELECT column_name, CASE WHEN p_missing > 0.05 THEN 'MISSING' END FROM s) SELECT column_name, alert_type FROM a WHERE alert_type IS NOT NULL")
@@ -525,3 +532,119 @@ def full_profile_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, t = d["variables"], d["table"]
     found = [("n", t["n"]), ("n_var", t["n_var"]), ("p_size_mean", round(v["p_size"]["mean"], 4)), ("p_retailprice_median", round(v["p_retailprice"]["50%"], 4)), ("p_brand_distinct", v["p_brand"]["n_distinct"]), ("n_duplicates", t["n_duplicates"])]
     return spark.createDataFrame([(k, float(x)) for k, x in found], "metric string, value double")
+
+
+# --- whole profiles, value by value ---
+
+#: Report keys with their SQL over x (a number without nulls), n rows, and the means and deviations of ``m``.
+STATISTICS = {
+    "mean": "avg(x)", "std": "stddev_samp(x)", "variance": "var_samp(x)", "min": "min(x)", "max": "max(x)", "sum": "sum(x)", "5%": "quantile_cont(x, 0.05)", "25%": "quantile_cont(x, 0.25)", "50%": "quantile_cont(x, 0.5)", "75%": "quantile_cont(x, 0.75)", "95%": "quantile_cont(x, 0.95)",
+    "kurtosis": "kurtosis(x)", "skewness": "avg(power((x - mu) / sd, 3))", "mad": "avg(abs(x - mu))", "n_zeros": "count(*) FILTER (WHERE x = 0)", "n_negative": "count(*) FILTER (WHERE x < 0)", "n_missing": "count(*) - count(x)", "n_distinct": "count(DISTINCT x)", "range": "max(x) - min(x)", "iqr": "quantile_cont(x, 0.75) - quantile_cont(x, 0.25)",
+    "cv": "stddev_samp(x) / avg(x)", "p_zeros": "count(*) FILTER (WHERE x = 0) / count(*)", "p_distinct": "count(DISTINCT x) / count(*)", "p_missing": "1 - count(x) / count(*)",
+}
+
+
+def statistics_sql(columns, source: str) -> str:
+    """(column_name, metric, digits, power) of every statistic."""
+    picked = ", ".join(f"({e})::DOUBLE AS \"{k}\"" for k, e in STATISTICS.items())
+    rows_ = " UNION ALL ".join(f"SELECT * FROM (UNPIVOT (SELECT '{c}' AS column_name, {picked} FROM (SELECT {c}::DOUBLE AS x, avg({c}::DOUBLE) OVER () AS mu, stddev_samp({c}::DOUBLE) OVER () AS sd FROM {source})) ON COLUMNS(* EXCLUDE column_name) INTO NAME metric VALUE value)" for c in columns)
+    return f"SELECT column_name, metric, CASE WHEN value = 0 THEN 0 ELSE round(value / pow(10, floor(log10(abs(value)))), 6) END AS digits, CASE WHEN value = 0 THEN 0 ELSE floor(log10(abs(value)))::BIGINT END AS power FROM ({rows_})"
+
+
+def statistics(spark: SparkSession, df: DataFrame, columns) -> DataFrame:
+    v = profiled(df, cardinality_threshold=0, correlations=False, compute_duplicates=False).variables
+    found = [(c, k, *significant(float(v[c][k]))) for c in columns for k in STATISTICS]
+    return spark.createDataFrame(found, "column_name string, metric string, digits double, power long")
+
+
+@query(statistics_sql(LINEITEM, "lineitem"))
+def profile_statistics_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every statistic of every numeric column, as a full profile reports it."""
+    return statistics(spark, table(spark, sf_dir, "lineitem"), LINEITEM)
+
+
+@query(f"WITH e AS ({DERIVED_EVENTS}), d AS (SELECT user_id, CASE WHEN isnan(value) THEN NULL ELSE value END AS value FROM e) " + statistics_sql(("user_id", "value"), "d"))
+def profile_statistics_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics(spark, derived_events(spark, sf_dir).select("user_id", "value"), ("user_id", "value"))
+
+
+@query(f"WITH e AS ({DERIVED_EVENTS}) " + statistics_sql(("price",), "(SELECT CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders)"))
+def profile_statistics_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimals, which are read from the table rather than from value counts."""
+    return statistics(spark, table(spark, sf_dir, "orders").select(F.col("o_totalprice").cast("decimal(18,2)").alias("price")), ("price",))
+
+
+@query(histogram_sql(("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey", "l_partkey"), "lineitem"))
+def profile_histograms_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey", "l_partkey"]
+    v = profiled(table(spark, sf_dir, "lineitem").select(*names), minimal=True, cardinality_threshold=0).variables
+    return spark.createDataFrame([(c, i, n) for c in names for i, n in enumerate(v[c]["histogram"]["counts"])], "column_name string, bin int, n long")
+
+
+@query(histogram_sql(("ts",), "events", "floor(epoch({c}))::DOUBLE"))
+def profile_time_histogram_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = profiled(table(spark, sf_dir, "events").select("ts"), minimal=True).variables
+    return spark.createDataFrame([("ts", i, n) for i, n in enumerate(v["ts"]["time_histogram"]["counts"])], "column_name string, bin int, n long")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, side, place, v::VARCHAR AS v FROM ({extreme_sql(c, 'part', d)})" for c, d in (("p_partkey", False), ("p_size", True), ("p_brand", True), ("p_name", False))))
+def profile_extremes_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats show only in columns most of whose values are distinct."""
+    names = ["p_partkey", "p_size", "p_brand", "p_name"]
+    v = profiled(table(spark, sf_dir, "part").select(*names), minimal=True).variables
+    found = [(c, s, i + 1, str(x)) for c in names for s in ("smallest", "largest") for i, x in enumerate(v[c][f"extreme_values_{s}"])]
+    return spark.createDataFrame(found, "column_name string, side string, place int, v string")
+
+
+@query(f"WITH e AS ({DERIVED_EVENTS}), g AS (SELECT 'note' AS c, note AS v, count(*) AS n FROM e GROUP BY 2 UNION ALL SELECT 'event_type', event_type, count(*) FROM e GROUP BY 2), r AS (SELECT c, v, n, row_number() OVER (PARTITION BY c ORDER BY n DESC, v NULLS LAST) AS place FROM g) SELECT c AS column_name, CASE WHEN v IS NULL THEN 'None' WHEN v = '' THEN '(Empty)' ELSE v END AS label, n, place::INT AS place FROM r WHERE place <= 20")
+def profile_top_values_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = profiled(derived_events(spark, sf_dir).select("note", "event_type"), minimal=True).variables
+    return spark.createDataFrame([(c, x, n, i + 1) for c in ("note", "event_type") for i, (x, n) in enumerate(zip(v[c]["histogram"]["bins"], v[c]["histogram"]["counts"], strict=True))], "column_name string, label string, n long, place int")
+
+
+def report_matrix(spark: SparkSession, df: DataFrame, kind: str, **options) -> DataFrame:
+    m = profiled(df, compute_duplicates=False, **options).correlations[kind]
+    names = m["columns"]
+    found = [(names[i], names[j], round(m["matrix"][i][j], 6)) for i in range(len(names)) for j in range(i + 1, len(names))]
+    return spark.createDataFrame(found, "column_a string, column_b string, r double")
+
+
+@query(pairs_sql(("a", "b", "c"), WITH_NULLS))
+def profile_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of a report, of columns with missing values."""
+    x = table(spark, sf_dir, "lineitem").select(F.when(~(F.col("l_quantity") > 45), F.col("l_quantity")).alias("a"), F.when(~(F.col("l_tax") < 0.02), F.col("l_extendedprice")).alias("b"), F.col("l_discount").alias("c"))
+    return report_matrix(spark, x, "pearson")
+
+
+@query(pairs_sql(("p_partkey", "p_size", "p_retailprice"), "(SELECT rank() OVER (ORDER BY p_size NULLS LAST)::DOUBLE AS p_size, rank() OVER (ORDER BY p_retailprice NULLS LAST)::DOUBLE AS p_retailprice, rank() OVER (ORDER BY p_partkey NULLS LAST)::DOUBLE AS p_partkey FROM part)"))
+def profile_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_matrix(spark, table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), "spearman")
+
+
+@query(pairs_sql(("p_partkey", "p_size", "p_retailprice"), "(SELECT rank() OVER (ORDER BY p_size NULLS LAST)::DOUBLE AS p_size, rank() OVER (ORDER BY p_retailprice NULLS LAST)::DOUBLE AS p_retailprice, rank() OVER (ORDER BY p_partkey NULLS LAST)::DOUBLE AS p_partkey FROM part)"))
+def spearman_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for samples too large for one task: ranks from value counts, joined back to the rows."""
+    names = ["p_partkey", "p_size", "p_retailprice"]
+    return _rounded(correlations.long_matrix(correlations.spread_rank_rows(correlations.values(table(spark, sf_dir, "part"), names), 3), names))
+
+
+@query("SELECT * FROM (VALUES ('ok', 'SKEWED', 'far'), ('ok', 'ZEROS', 'far'), ('ok', 'CONSTANT', 'one'), ('ok', 'EMPTY', 'gaps'), ('ok', 'MISSING', 'holes'), ('ok', 'UNIQUE', 'key'), ('ok', 'HIGH_CARDINALITY', 'most')) t(state, alert_type, column_name)")
+def alerts_of_every_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One column for each alert, made from the events; the expected alerts are written out."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    far = F.when(i % 500 == 0, i + 1e9).otherwise(F.lit(0.0))
+    d = e.select(far.alias("far"), F.lit("x").alias("one"), F.when(i % 3 == 0, "").otherwise("a").alias("gaps"), F.when(i % 4 != 0, "b").when(i % 8 == 0, "c").alias("holes"), F.concat(F.lit("k"), i.cast("string")).alias("key"), F.concat(F.lit("m"), F.when(i % 3 == 0, i - 1).otherwise(i).cast("string")).alias("most"))
+    report = profiled(d, correlations=False, compute_duplicates=False)
+    return spark.createDataFrame([("ok", a["alert_type"], c) for a in report.alerts for c in a["fields"]], "state string, alert_type string, column_name string")
+
+
+@query("SELECT 'rows' AS name, 1 AS within UNION ALL SELECT 'same seed', 1 UNION ALL SELECT 'eligible', 1 UNION ALL SELECT 'truncated', 1")
+def samples_and_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bernoulli samples are about as large as asked and repeat with their seed; correlations are limited to the columns they may take."""
+    df = table(spark, sf_dir, "lineitem")
+    n = df.count()
+    a, b = (interactions.sampled(df, ["l_orderkey", "l_linenumber"], n, 42).collect() for _ in (0, 1))
+    names = correlations.eligible(df)
+    few, cut = correlations.selected(names, {}, 3)
+    found = [("rows", int(abs(len(a) - interactions.POINTS) < 200)), ("same seed", int(a == b)), ("eligible", int(names == list(LINEITEM))), ("truncated", int(cut and len(few) == 3))]
+    return spark.createDataFrame(found, "name string, within int")

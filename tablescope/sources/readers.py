@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,9 +12,20 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header and types from the file; quoted line breaks are part of a value."""
-    return spark.read.options(header=True, inferSchema=True, multiLine=True, escape='"').csv(path)
+def read_csv(spark: SparkSession, path: str, multiline: bool = False, schema: str | None = None) -> DataFrame:
+    """Header and types from the file; with a ``schema`` (DDL) the file isn't read for its types first.
+
+    ``multiline``: quoted line breaks are part of a value. Such a file can't be split among tasks.
+    """
+    reader = spark.read.options(header=True, multiLine=multiline, escape='"')
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def read_table(spark: SparkSession, data: Any) -> DataFrame:
+    """A Spark DataFrame as it is; a pandas DataFrame or an Arrow table as one."""
+    if isinstance(data, DataFrame) or not (hasattr(data, "to_pandas") or hasattr(data, "columns")):
+        return data
+    return spark.createDataFrame(data)
 
 
 def read_excel(spark: SparkSession, path: str, **options: Any) -> DataFrame:
@@ -29,16 +41,18 @@ def read_excel(spark: SparkSession, path: str, **options: Any) -> DataFrame:
     return spark.createDataFrame(sheet.rename(columns=str))
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """By extension; an unknown one is tried as Parquet, then as CSV."""
+def read_any(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """By extension; an unknown one is tried as Parquet, then as CSV. A path that is not there, or may not be read, is an error."""
     name = path.lower().rstrip("/")
     if name.endswith(".parquet"):
         return read_parquet(spark, path)
     if name.endswith(".csv"):
-        return read_csv(spark, path)
+        return read_csv(spark, path, multiline)
     if name.endswith((".xlsx", ".xls", ".xlsb")):
         return read_excel(spark, path)
     try:
         return read_parquet(spark, path)
-    except Exception:  # Spark has no narrower class for "not a Parquet file"
-        return read_csv(spark, path)
+    except PySparkException as error:
+        if "PARQUET" not in (error.getCondition() or "").upper() and "not a Parquet file" not in str(error):
+            raise
+        return read_csv(spark, path, multiline)

@@ -120,7 +120,12 @@ def test_sources_and_command_line(spark, tmp_path, capsys):
     df.coalesce(1).write.parquet(str(tmp_path / "odd.data"))
     df.toPandas().to_csv(tmp_path / "odd.txt", index=False)
     for name in ("t.csv", "t.parquet", "odd.data", "odd.txt"):
-        assert readers.read_any(spark, str(tmp_path / name)).count() == 2
+        assert readers.read_any(spark, str(tmp_path / name), multiline=True).count() == 2
+    assert readers.read_csv(spark, str(tmp_path / "t.csv")).count() == 3  # without multiline a line break ends a row
+    (tmp_path / "lines.csv").write_text('n,t\n1,"a,\nb"\n2,c\n')
+    assert readers.read_any(spark, str(tmp_path / "lines.csv"), multiline=True).count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_any(spark, str(tmp_path / "absent"))
     out = tmp_path / "r.json"
     assert cli.main(["-f", str(tmp_path / "t.csv"), "-o", str(out), "--minimal", "--no-duplicates", "-t", "mine"]) == 0
     assert json.loads(out.read_text())["analysis"]["title"] == "mine"
@@ -131,6 +136,18 @@ def test_sources_and_command_line(spark, tmp_path, capsys):
         cli.main(["-f", "x", "--correlations-max-columns", "1"])
 
 
+def test_tables_in_memory(spark):
+    import pandas as pd
+    import pyarrow as pa
+
+    from tablescope import profile
+
+    frame = pd.DataFrame({"n": [1, 2, 2], "t": ["a", "b", None]})
+    for data in (frame, pa.Table.from_pandas(frame)):
+        v = profile(data, minimal=True).to_dict()["variables"]
+        assert v["n"]["n_distinct"] == 2 and v["t"]["n_missing"] == 1
+
+
 def test_excel_needs_an_engine(spark, tmp_path):
     path = tmp_path / "t.xlsx"
     path.write_bytes(b"not a sheet")
