@@ -10,7 +10,8 @@ offending spans are the runs of tokens whose marginal passes the threshold.
 Only the text is an input of a score. Nulls: a null text is empty; empty texts score 0. Labels
 that are null are not used, documents without label are scored like others. With no toxic
 training documents, every score is 0. Rows that repeat a doc_id are scored each. Extra columns
-are ignored.
+are ignored, whatever their names; an empty table gives no rows; texts of any length are scored whole,
+by marginals of the whole sequence. A score at the threshold is toxic.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import dropped, written
+
 DIM = 1 << 18
 MAX_TOXIC, MAX_CLEAN = 800, 1600
 THRESHOLD = 0.3
@@ -202,20 +205,27 @@ def trained(toxic: list[str], clean: list[str], rounds: int = 20) -> Field | Non
 
 
 def fitted(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Field | None:
-    """Train on labelled documents outside the held-out quarter, the first in hashed order of each label."""
-    ids = F.col("doc_id").cast("long")
-    marked = labels.select(ids.alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).dropDuplicates(["doc_id"])
+    """Train on labelled documents outside the held-out quarter, the first in hashed order of each label.
+
+    A document that is labelled both ways is toxic; of rows that share a doc_id each text counts.
+    """
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    marked = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~held_out)
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text is not null")
+    # Only ids travel; labels without a document are out before the first of each label are taken.
+    found = own.select("doc_id").join(marked, "doc_id").distinct()
     wanted = None
     for kind, most in ((1, max_toxic), (0, max_clean)):
-        some = marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * most)
+        some = found.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         wanted = some if wanted is None else wanted.union(some)
-    own = docs.select(ids.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Bounded by 4 x (max_toxic + max_clean) ids, so the broadcast is; of those found, the first of each label train.
-    rows = own.join(F.broadcast(wanted), "doc_id").where("text is not null")
-    found = {}
+    wanted, path = written(wanted, "op10-training")
+    # Bounded by max_toxic + max_clean ids, so the broadcast is.
+    rows, texts = own.join(F.broadcast(wanted), "doc_id"), {}
     for kind, most in ((1, max_toxic), (0, max_clean)):
-        found[kind] = [r[0] for r in rows.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "text").limit(most).select("text").toLocalIterator()]
-    return trained(found[1], found[0])
+        texts[kind] = [r[0] for r in rows.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).select("text").toLocalIterator()]
+    dropped(docs.sparkSession, path)
+    return trained(texts[1], texts[0])
 
 
 def in_slices(batch: pa.RecordBatch, field: Field | None, threshold: float, memo: dict) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
@@ -240,7 +250,7 @@ def scored(docs: DataFrame, field: Field | None, threshold: float = THRESHOLD) -
         for batch in batches:
             yield from (own for _, own in in_slices(batch, field, threshold, memo))
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return d.mapInArrow(run, SCHEMA)
 
 

@@ -636,6 +636,19 @@ def test_toxicity_learns_words_and_beginnings(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.score < 0.3}
 
 
+def test_toxicity_of_conflicting_labels_and_of_labels_without_documents(spark, none):
+    """A document with both labels is toxic, in any order of rows; labels that no document has don't take the places of others."""
+    rng, words = random.Random(5), vocabulary(300, 8)
+    data = [(i, " ".join([*(rng.choice(words) for _ in range(20)), "horrid" if i % 2 else "kind"])) for i in range(80)]
+    labels = [(i, i % 2) for i in range(80)] + [(i, 0) for i in range(1, 80, 2)] + [(10_000 + i, i % 2) for i in range(400)]
+    d, m = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fields = [toxicity.fitted(d.repartition(n), x, max_toxic=30, max_clean=30) for n, x in ((1, m), (3, m.orderBy("toxic")))]
+    assert (fields[0].weights == fields[1].weights).all()
+    got = {r.doc_id: r.score for r in toxicity.scored(d, fields[0]).collect()}
+    assert all((got[i] >= toxicity.THRESHOLD) == (i % 2 == 1) for i, _ in data)
+    assert toxicity.scored(none, fields[0]).count() == 0 and toxicity.without_toxic(none, fields[0]).count() == 0
+
+
 def test_toxicity_without_labels(spark, docs):
     field = toxicity.fitted(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert field is None and toxicity.scored(docs, field).where("score > 0").count() == 0
