@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -81,3 +82,29 @@ def ascii_lower(text: Column) -> Column:
 
 def partitions_for(rows: int, per_task: int, least: int = 1) -> int:
     return max(least, -(-int(rows) // per_task))
+
+
+def same(a: DataFrame, b: DataFrame, names: Iterable[str], prefix: str) -> Column:
+    """Whether columns of ``a`` equal those of ``b`` whose names have a prefix; nulls are equal."""
+    condition = F.lit(True)
+    for n in names:
+        condition = condition & a[n].eqNullSafe(b[prefix + n])
+    return condition
+
+
+def running(df: DataFrame, order: dict[str, Column], sums: tuple[str, ...] = (), within: tuple[str, ...] = (), name: str = "running") -> DataFrame:
+    """``df`` with ``place`` (from 0) of each row and, as ``before_x``, the sums of ``sums`` over the rows before it, in its group.
+
+    ``order``: sort expressions by a name. Rows are dealt by ranges, so no task holds a group,
+    however large; only one row for each task and group is brought together.
+    """
+    groups = [F.col(g).asc_nulls_last() for g in within]
+    placed, _ = written(df.repartitionByRange(*groups, *order.values()).withColumn("_p", F.spark_partition_id()), name)
+    totals = placed.groupBy(*within, "_p").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    earlier = W.partitionBy(*within).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(g).alias(f"_of_{g}") for g in within], F.col("_p").alias("_of__p"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_b{c}") for c in ("_n", *(f"_s_{x}" for x in sums))])
+    offsets, _ = written(offsets, name)
+    here = W.partitionBy(*within, "_p").orderBy(*order.values())
+    until = here.rowsBetween(W.unboundedPreceding, -1)
+    joined = placed.join(offsets, same(placed, offsets, [*within, "_p"], "_of_"))
+    return joined.select(*df.columns, (F.col("_b_n") + F.row_number().over(here) - 1).alias("place"), *[(F.col(f"_b_s_{c}") + F.coalesce(F.sum(c).over(until), F.lit(0))).alias(f"before_{c}") for c in sums])

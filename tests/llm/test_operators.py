@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tablescope.llm import census, chat_threads, decontaminate, exact_dedup, html_extract, mixing, simhash_dedup, substring_dedup, suffix_dedup, toxicity, url_filter
+from tablescope.llm import census, chat_threads, common, decontaminate, exact_dedup, html_extract, mixing, simhash_dedup, substring_dedup, suffix_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -445,6 +445,47 @@ def seats_by_hand(votes, seats):
     return out
 
 
+def test_mixing_matches_sql_with_null_and_repeated_ids(spark, rows, tmp_path):
+    import duckdb
+
+    from tablescope.llm.oracles import ORACLE_SQL
+
+    data = [(None if i % 11 == 0 else d % 40, t, None if i % 9 == 0 else f"s{i % 7}") for i, (d, t) in enumerate(rows)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("place", F.lit("x")).withColumn("size", F.lit(1)).repartition(3)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLE_SQL["op8_source_mixing"]).fetchall(), key=repr)
+    got = mixing.mixed(d).select("doc_id", "size", "source_size", "target", "taken").collect()
+    rounded = lambda rs: sorted(((*r[:3], round(r[3], 6), r[4]) for r in rs), key=repr)
+    assert rounded(got) == rounded(want)
+
+
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(1)
+    data = [(rng.choice(["a", "b", None]), rng.randint(0, 1000), i) for i in range(500)]
+    df = spark.createDataFrame(data, "g string, v long, i long").repartition(5)
+    got = {r.i: (r.place, r.before_v) for r in common.running(df, {"v": F.col("v").desc(), "i": F.col("i").asc()}, ("v",), ("g",)).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        total = 0
+        for k, (_, v, i) in enumerate(sorted((x for x in data if x[0] == g), key=lambda x: (-x[1], x[2]))):
+            want[i], total = (k, total), total + v
+    assert got == want
+
+
+def test_sainte_lague_of_many_parties_off_by_many(spark):
+    """Nearly equal parties, whose shares all round the same way, and one that holds a third of the votes."""
+    for n, seats in ((60, 89), (60, 91), (41, 20), (41, 21)):
+        votes = {f"p{i:02}": 1000.0 + i for i in range(n)} | {"hot": 500.0 * n}
+        p = spark.createDataFrame([(1, k, v) for k, v in votes.items()], "g int, p string, v double")
+        got = {r.p: r.quota for r in mixing.apportioned(p, "v", F.lit(seats), ["g"], ["p"]).collect()}
+        want = dict.fromkeys(votes, 0)
+        for _ in range(seats):
+            want[min(votes, key=lambda x: (-votes[x] / (2 * want[x] + 1), x))] += 1
+        assert got == want
+
+
 @pytest.mark.parametrize("seats", [0, 1, 7, 100])
 def test_sainte_lague(spark, seats):
     votes = {"a": 53.0, "b": 24.0, "c": 23.0, "d": 0.5, "e": 24.5}
