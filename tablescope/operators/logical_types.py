@@ -6,9 +6,12 @@ that has values, all of which pass it; the first match in order of priority name
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,13 +71,11 @@ LABELS = {"SWIFT": "SWIFT/BIC", "TaxID": "Tax ID (EIN)", "IPAddress": "IP Addres
 COLUMNS_AT_ONCE = 25
 
 
-def java(pattern: str) -> str:
-    """A pattern for Java: ``$`` matches at the very end only, and a dot matches line breaks too."""
+def ends(pattern: str, end: str) -> str:
+    """The pattern with ``end`` for every ``$`` that stands for the end."""
     out, escaped, bracket = "", False, False
     for ch in pattern:
-        if ch == "$" and not escaped and not bracket:
-            ch = r"\z"
-        out += ch
+        out += end if ch == "$" and not escaped and not bracket else ch
         if escaped:
             escaped = False
         elif ch == "\\":
@@ -83,7 +84,12 @@ def java(pattern: str) -> str:
             bracket = True
         elif ch == "]":
             bracket = False
-    return "(?s)" + out
+    return out
+
+
+def java(pattern: str) -> str:
+    """A pattern for Java: ``$`` matches at the very end only, and a dot matches line breaks too."""
+    return "(?s)" + ends(pattern, r"\z")
 
 
 def text(value: str) -> str:
@@ -162,6 +168,7 @@ def built_in() -> list[LogicalType]:
 
 #: The types in use; insert into it to add one of your own.
 types: list[LogicalType] = built_in()
+_BUILT_IN = tuple(types)
 
 
 def by_physical_type(kind: T.DataType) -> LogicalType:
@@ -232,27 +239,107 @@ def verdicts(df: DataFrame, columns: list[str], skip_categorical: bool = False)
     return evidence(df, columns, plans).select(*out)
 
 
+class Evidence:
+    """What the values of one column leave of the built-in types: the same rules as ``plan``, for values in batches.
+
+    A bounded head is judged here, as compiling dozens of patterns into one plan takes longer than
+    matching them. Each distinct value is matched once for every type that is still possible.
+    """
+
+    def __init__(self, kind: T.DataType):
+        self.kind, self.n, self.rows, self.above = kind, 0, 0, 0
+        self.groups = [set(g) for g in ORDERS]
+        if is_string(kind):
+            self.tests = {n: re.compile(ends(p, r"\Z"), re.S | re.ASCII).search for n, p in PATTERNS.items()}
+            self.tests |= {n: (lambda v, own=frozenset(x.lower() for x in vs): v.lower() in own) for n, vs in VOCABULARIES.items()}
+        elif is_integer(kind):
+            self.tests = {"Boolean": lambda v: v in (0, 1), "Age": lambda v: 0 <= v <= 120, "Count": lambda v: v >= 0}
+        else:
+            self.tests = {}
+        self.seen: set[int] = set()
+
+    def add(self, column: pa.ChunkedArray | pa.Array) -> None:
+        self.rows += len(column)
+        values = pc.value_counts(column.drop_null()).to_pylist()
+        for own in values:
+            v, count = own["values"], own["counts"]
+            self.n += count
+            if is_integer(self.kind):
+                self.above += count * (v > 14)
+            if (key := hash(v)) in self.seen:
+                continue
+            self.seen.add(key)
+            for name in [n for n, test in self.tests.items() if not test(v)]:
+                del self.tests[name]
+            if is_string(self.kind):
+                low = v.lower()
+                self.groups = [g for g in self.groups if low in g]
+
+    def verdict(self, skip_categorical: bool) -> str | None:
+        k = self.kind
+        native = {"DateTime": isinstance(k, INSTANTS), "Boolean": is_boolean(k), "Integer": is_integer(k), "Decimal": is_floating(k) or isinstance(k, T.DecimalType), "String": is_string(k)}
+        few = len(self.seen) < 20 or (self.rows and len(self.seen) / self.rows < 0.05)
+        repeated = len(self.seen) < self.rows * (0.5 if self.rows < 50 else 0.8)
+        for name in PRIORITY:
+            if native.get(name):
+                return name
+            if name == "Categorical":
+                if (is_string(k) or is_integer(k)) and not skip_categorical and self.rows and few and repeated:
+                    return name
+            elif name == "Ordinal":
+                if is_string(k) and self.n and self.groups:
+                    return name
+            elif name in self.tests and self.n and (name != "Age" or self.above > 0.5 * self.n):
+                return name
+        return None
+
+
+def of_head(head: DataFrame, kinds: dict[str, T.DataType], skip_categorical: bool) -> list[str | None]:
+    """The built-in type of each column, from all rows of a bounded table, in one task."""
+    kinds_ = list(kinds.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [Evidence(k) for k in kinds_]
+        for b in batches:
+            for i, own in enumerate(found):
+                if own.tests or is_string(own.kind) or is_integer(own.kind):
+                    own.add(b.column(i))
+        yield pa.RecordBatch.from_arrays([pa.array([[e.verdict(skip_categorical) for e in found]], pa.list_(pa.string()))], ["names"])
+
+    # Other types are decided by the schema alone; their values stay where they are.
+    plain = head.select(*[named(c).cast("string" if is_string(k) else "long") if is_string(k) or is_integer(k) else F.lit(None).cast("long").alias(f"x{i}") for i, (c, k) in enumerate(kinds.items())])
+    return plain.coalesce(1).mapInArrow(run, "names array<string>").first()[0]
+
+
 def infer(df: DataFrame, columns: list[str] | None = None, sample: int | None = 10_000, minimal: bool = False, skip_categorical: bool = False) -> dict[str, LogicalType]:
     """The logical type of each column, from at most ``sample`` rows (None: all)."""
     columns = df.columns if columns is None else columns
     kinds = {c: df.schema[c].dataType for c in columns}
     found = {c: by_physical_type(kinds[c]) for c in columns}
-    if minimal:
+    if minimal or not columns:
         return found
     head = df.select(*[named(c) for c in columns])
-    head = head.limit(sample).cache() if sample is not None else head
-    try:
-        for a in range(0, len(columns), COLUMNS_AT_ONCE):
-            own = columns[a : a + COLUMNS_AT_ONCE]
+    names: list[str | None] = []
+    if sample is not None:
+        head = head.limit(sample)
+        if tuple(types) == _BUILT_IN:
             try:
-                for c, name in zip(own, verdicts(head, own, skip_categorical).first(), strict=True):
-                    if name is not None:
-                        found[c] = next(t for t in types if t.name == name)
-            except Exception:  # noqa: S112  a column that can't be checked keeps its physical type
-                continue
-    finally:
-        head.unpersist()
-    return found
+                names = of_head(head, kinds, skip_categorical)
+            except Exception:  # the plan below may still judge some of the columns
+                names = []
+    if not names:
+        head = head.cache() if sample is not None else head
+        try:
+            for a in range(0, len(columns), COLUMNS_AT_ONCE):
+                own = columns[a : a + COLUMNS_AT_ONCE]
+                try:
+                    names += verdicts(head, own, skip_categorical).first()
+                except Exception:  # a column that can't be checked keeps its physical type
+                    names += [None] * len(own)
+        finally:
+            if sample is not None:
+                head.unpersist()
+    return found | {c: next(t for t in types if t.name == name) for c, name in zip(columns, names, strict=True) if name is not None}
 
 
 def long_verdicts(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,7 +51,7 @@ def read_any(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
         return read_excel(spark, path)
     try:
         return read_parquet(spark, path)
-    except PySparkException as error:
-        if "PARQUET" not in (error.getCondition() or "").upper() and "not a Parquet file" not in str(error):
+    except Exception as error:  # Spark has no class of its own for this
+        if not any(x in str(error) for x in ("is not a Parquet file", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER")):
             raise
         return read_csv(spark, path, multiline)

@@ -136,6 +136,17 @@ def test_sources_and_command_line(spark, tmp_path, capsys):
         cli.main(["-f", "x", "--correlations-max-columns", "1"])
 
 
+def test_types_of_a_head_are_those_of_the_plan(spark):
+    values = [v for pair in catalogue.SAMPLES.values() for v in pair] + ["42\n", "\u00e9", "\u0661\u0662", "A\u00a0B", "12 34", "$5\n"]
+    for a in range(0, len(values), 20):
+        own = values[a : a + 20]
+        df = spark.createDataFrame([tuple(own)] * 3, ", ".join(f"c{i} string" for i in range(len(own))))
+        assert [t.name for t in logical_types.infer(df).values()] == list(logical_types.verdicts(df, df.columns).first())
+    df = spark.createDataFrame([(1, 0, 200, -1, 1.5, None, "low", None), (0, 16, 3, 5, 2.5, None, "High", "a"), (1, 90, None, 6, 3.0, None, None, "b")], "b int, a long, cnt int, i short, d double, nul string, o string, t string")
+    assert [t.name for t in logical_types.infer(df).values()] == [x or "String" for x in logical_types.verdicts(df, df.columns).first()]
+    assert {t.name for t in logical_types.infer(df.limit(0)).values()} == {x or "String" for x in logical_types.verdicts(df.limit(0), df.columns).first()}
+
+
 def test_tables_in_memory(spark):
     import pandas as pd
     import pyarrow as pa
