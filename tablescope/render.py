@@ -15,12 +15,20 @@ FOLDER = Path(__file__).resolve().parent / "templates"
 
 
 def template(theme: str) -> str:
+    """The page without data. Themes share their script; each has a style sheet, and with it a layout, of its own."""
     if theme not in THEMES:
         raise ValueError(f"unknown theme {theme!r}; choose from {', '.join(THEMES)}")
-    path = (FOLDER / f"{theme}.html").resolve()
+    text = (FOLDER / "default.html").read_text(encoding="utf-8")
+    if theme == "default":
+        return text
+    path = (FOLDER / f"{theme}.css").resolve()
     if FOLDER not in path.parents:  # never leave the folder, whatever the name
         raise ValueError(f"unknown theme {theme!r}")
-    return path.read_text(encoding="utf-8")
+    head, rest = text.split("<style", 1)
+    opening, rest = rest.split(">", 1)
+    own, rest = rest.split("</style>", 1)
+    scale = "\n".join(line for line in own.splitlines() if line.startswith(".s"))  # the colours of matrices
+    return f"{head}<style{opening}>\n{path.read_text(encoding='utf-8')}{scale}\n</style>{rest}"
 
 
 def page(report: dict[str, Any], theme: str = "default", minify: bool = True, offline: bool = True) -> str:

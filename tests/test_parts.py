@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope import cli, render
+from tablescope import cli, profile, render
 from tablescope.alerts import alerts
 from tablescope.functions.columns import bytes_per_row, hashable, report_kind
 from tablescope.operators import correlations, logical_types, rows
@@ -15,7 +15,7 @@ from tablescope.operators.quantiles import by_narrowing
 from tablescope.plans import catalogue
 from tablescope.report import plain
 from tablescope.sources import readers
-from tablescope.streaming.microbatch import profile_stream, windowed_counts
+from tablescope.streaming.microbatch import profile_stream, running_counts, windowed_counts
 
 INVALID = {name: bad for name, (_, bad) in catalogue.SAMPLES.items() if bad}
 
@@ -107,6 +107,7 @@ def test_page_is_closed_and_escaped():
         page = render.page(data, theme)
         assert "<script>alert" not in page and page.count("</script>") == 2 and "Content-Security-Policy" in page and "{{" not in page
         assert "http://www.w3.org" in page and "https://" not in page
+    assert "grid-template-columns" in render.page(data, "ydata-like") and "grid-template-columns" not in render.page(data)
     assert render.page(data) != render.page(data)  # another nonce
     for bad in ("../render", "/etc/passwd", "none"):
         with pytest.raises(ValueError):
@@ -151,7 +152,7 @@ def test_tables_in_memory(spark):
     import pandas as pd
     import pyarrow as pa
 
-    from tablescope import profile
+
 
     frame = pd.DataFrame({"n": [1, 2, 2], "t": ["a", "b", None]})
     for data in (frame, pa.Table.from_pandas(frame)):
@@ -172,6 +173,13 @@ def test_streams(spark, tmp_path):
     seen = []
     profile_stream(stream, lambda r, n: seen.append(r.table["n"]), str(tmp_path / "c1"), minimal=True).awaitTermination()
     assert sum(seen) == 20
+    totals = []
+    add = running_counts(lambda t, n: totals.append((t["n"], t["variables"]["x"]["n_missing"], t["variables"]["x"]["mean"], t["variables"]["x"]["max"])))
+    batches = spark.read.parquet(str(tmp_path / "in"))
+    for i, part in enumerate((batches.where("id < 7"), batches.where("id >= 7"))):
+        add(profile(part, minimal=True, cardinality_threshold=0), i)
+    add(profile(batches.where("id >= 7"), minimal=True, cardinality_threshold=0), 1)  # delivered again
+    assert totals[-1] == totals[-2] == (20, 1, (190 - 3) / 19, 19.0)
     q = windowed_counts(stream, "at", "x").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination()
     got = sorted((r.n, r.n_missing) for r in spark.table("w").collect())
