@@ -280,8 +280,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 2) -> DataFrame
 
 # --- Similarity of at least 0.8 on five-word shingles: candidates by shared rare shingles, each confirmed ---
 
-#: Bits of a set's parity map.
-MAP_BITS = 512
+#: Fewest bits of a set's parity map.
+LEAST_BITS = 64
 
 
 def shingle_set(text: str | None, k: int) -> set[tuple[bytes, ...]]:
@@ -291,19 +291,41 @@ def shingle_set(text: str | None, k: int) -> set[tuple[bytes, ...]]:
 
 
 def parity_map(hashes: np.ndarray) -> bytes:
-    """Bit b is the parity of the number of (distinct) hashes that fall on b: two maps differ in no more bits than their sets in members."""
-    odd = (np.bincount((hashes & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1).astype(np.uint8)
+    """Bit b is the parity of the number of (distinct) hashes that fall on b: two maps differ in no more bits than their sets in members.
+
+    The width is the power of two from the number of hashes on, so that the map of a long text
+    tells as much as that of a short one. Folding a map's halves on each other gives the narrower map.
+    """
+    bits = max(LEAST_BITS, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else LEAST_BITS
+    odd = (np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
 
 
-def maps(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), MAP_BITS // 64)
+def folded(blobs: list[bytes], width: int) -> np.ndarray:
+    """Maps of ``width`` bytes or more as rows of 64-bit words, folded to that width."""
+    out = np.empty((len(blobs), width // 8), np.uint64)
+    lengths = np.array([len(x) for x in blobs], np.int64)
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        wide = np.frombuffer(b"".join([blobs[i] for i in at.tolist()]), np.uint64).reshape(len(at), n // width, width // 8)
+        out[at] = np.bitwise_xor.reduce(wide, axis=1)
+    return out
+
+
+def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many bits each map of ``a`` differs from that of ``b``, at the narrower width of the two."""
+    out = np.empty(len(a), np.int64)
+    widths = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    for w in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == w).tolist()
+        out[at] = np.bitwise_count(folded([a[i] for i in at], w) ^ folded([b[i] for i in at], w)).sum(1, dtype=np.int64)
+    return out
 
 
-def possible(n_a: np.ndarray, n_b: np.ndarray, differing: np.ndarray, similarity: float) -> np.ndarray:
+def possible(n_a: np.ndarray, n_b: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of these sizes that differ in at least so many members can have this Jaccard similarity."""
     alike = np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b) - 1e-9
-    return alike & (differing <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-9)
+    return alike & (apart <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-9)
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
@@ -337,8 +359,8 @@ def bounded(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 n_a, n_b = (b.column(c).to_numpy() for c in ("n_a", "n_b"))
-                differing = np.bitwise_count(maps(b.column("map_a")) ^ maps(b.column("map_b"))).sum(1, dtype=np.int64)
-                yield b.select(["a", "b"]).filter(pa.array(possible(n_a, n_b, differing, similarity)))
+                apart = differing(b.column("map_a").to_pylist(), b.column("map_b").to_pylist())
+                yield b.select(["a", "b"]).filter(pa.array(possible(n_a, n_b, apart, similarity)))
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
@@ -376,15 +398,20 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, sizes: DataFrame, similarit
     split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     members = named.join(split, "key").join(sizes, "doc_id").select("key", "doc_id", "root", "n", "map")
 
-    def compared(ids: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = gray_order(bits)
-        ids, root, n, bits = ids[order], root[order], n[order], bits[order]
-        tree = GrayTree(bits)
-        most = tree.largest(n)
-        for i, j in tree.near(lambda level, a, b: (1 - similarity) / (1 + similarity) * (most[level][a] + most[level][b]) + 1e-9):
-            ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (root[i] != root[j])
-            x, y = np.minimum(ids[i[ok]], ids[j[ok]]), np.maximum(ids[i[ok]], ids[j[ok]])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+    def compared(ids: np.ndarray, root: np.ndarray, n: np.ndarray, maps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        width = np.array([len(x) for x in maps], np.int64)
+        # Sets of this similarity have maps of the same width, or of one and the next.
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero((width == w) | (width == 2 * w))
+            bits = folded(maps[at].tolist(), w)
+            order = gray_order(bits)
+            at, bits = at[order], bits[order]
+            tree, size, narrow = GrayTree(bits), n[at], width[at] == w
+            most = tree.largest(size)
+            for i, j in tree.near(lambda level, a, b, most=most: (1 - similarity) / (1 + similarity) * (most[level][a] + most[level][b]) + 1e-9):
+                ok = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & (root[at[i]] != root[at[j]]) & (narrow[i] | narrow[j])
+                a, b = ids[at[i[ok]]], ids[at[j[ok]]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = None, []
@@ -392,7 +419,7 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, sizes: DataFrame, similarit
             if not batch.num_rows:
                 continue
             key, ids, root, n = (batch.column(c).to_numpy() for c in ("key", "doc_id", "root", "n"))
-            bits = maps(batch.column("map"))
+            bits = np.array(batch.column("map").to_pylist() + [None], object)[:-1]
             edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
             for a, b in zip(edges, edges[1:], strict=False):
                 if key[a] != held_key:
