@@ -387,69 +387,148 @@ def confirmed(pairs: DataFrame, docs: DataFrame, similarity: float, k: int) -> D
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def cross_pairs(shared: DataFrame, roots: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+#: Groups of up to this many members are compared pair by pair, larger ones through the tree.
+SMALL = 32
+
+
+def pairs_in_tree(root: np.ndarray, n: np.ndarray, maps: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one group in different components that may have the similarity.
+
+    Members are in the order of their components, and of Gray rank in each, so that whole nodes of
+    one component are pruned like those that differ in too many shared bits.
+    """
+    width = np.array([len(x) for x in maps], np.int64)
+    # Sets of this similarity have maps of the same width, or of one and the next.
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero((width == w) | (width == 2 * w))
+        bits = folded(maps[at].tolist(), w)
+        order = gray_order(bits)
+        order = order[np.argsort(root[at[order]], kind="stable")]
+        at, bits = at[order], bits[order]
+        tree, size, narrow, label = GrayTree(bits), n[at], width[at] == w, root[at]
+        most, high, low = tree.largest(size), tree.largest(label), tree.largest(-label)
+
+        def allowed(level: int, a: np.ndarray, b: np.ndarray, most=most, high=high, low=low) -> np.ndarray:
+            one = (high[level][a] == -low[level][a]) & (high[level][b] == -low[level][b]) & (high[level][a] == high[level][b])
+            return np.where(one, -1.0, (1 - similarity) / (1 + similarity) * (most[level][a] + most[level][b]) + 1e-9)
+
+        for i, j in tree.near(allowed):
+            ok = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & (narrow[i] | narrow[j])
+            yield at[i[ok]], at[j[ok]]
+
+
+def best_of(group: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which pairs are the closest of a component in its group."""
+    if not len(i):
+        return np.zeros(0, bool)
+    owner, of, rank = np.concatenate((root[i], root[j])), np.concatenate((group[i], group[i])), np.concatenate((apart, apart))
+    order = np.lexsort((rank, owner, of))
+    first = np.concatenate(([True], (np.diff(owner[order]) != 0) | (np.diff(of[order]) != 0)))
+    out = np.zeros(len(i), bool)
+    out[order[first] % len(i)] = True
+    return out
+
+
+def cross_pairs(shared: DataFrame, roots: DataFrame, sizes: DataFrame, similarity: float, best: bool) -> DataFrame:
     """Pairs (a < b) that share a key, are in different components and may have the similarity.
 
-    The members of a key are put in Gray order by their parity maps and searched through the tree of
-    shared bits: two maps differ in no more bits than their sets in members, so the tree prunes
-    groups of nodes by accumulated differences without losing a pair.
+    The members of a key are searched by their parity maps, large groups through the Gray-ordered
+    tree of shared bits: two maps differ in no more bits than their sets in members, so groups of
+    nodes are pruned by accumulated differences without losing a pair. ``best``: of each component
+    in a group only its closest pair, no more than the group has members.
     """
     named = shared.select("key", "doc_id").join(roots, shared["doc_id"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     members = named.join(split, "key").join(sizes, "doc_id").select("key", "doc_id", "root", "n", "map")
 
-    def compared(ids: np.ndarray, root: np.ndarray, n: np.ndarray, maps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        width = np.array([len(x) for x in maps], np.int64)
-        # Sets of this similarity have maps of the same width, or of one and the next.
-        for w in np.unique(width).tolist():
-            at = np.flatnonzero((width == w) | (width == 2 * w))
-            bits = folded(maps[at].tolist(), w)
-            order = gray_order(bits)
-            at, bits = at[order], bits[order]
-            tree, size, narrow = GrayTree(bits), n[at], width[at] == w
-            most = tree.largest(size)
-            for i, j in tree.near(lambda level, a, b, most=most: (1 - similarity) / (1 + similarity) * (most[level][a] + most[level][b]) + 1e-9):
-                ok = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & (root[at[i]] != root[at[j]]) & (narrow[i] | narrow[j])
-                a, b = ids[at[i[ok]]], ids[at[j[ok]]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+    def batch(ids: np.ndarray, chosen: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*chosen, strict=True)) if chosen else (np.empty(0, np.int64),) * 2
+        a, b = ids[i], ids[j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    def compared(key: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, maps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``key``: the groups, one after the other."""
+        start = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+        size, chosen = np.diff(np.append(start, len(key))), []
+        for m in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
+            x, y = np.triu_indices(m, 1)
+            first = start[size == m]
+            step = max(1, 200_000 // len(x))
+            for s in range(0, len(first), step):
+                i, j = (first[s : s + step, None] + x).ravel(), (first[s : s + step, None] + y).ravel()
+                ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+                i, j = i[ok], j[ok]
+                apart = differing(maps[i].tolist(), maps[j].tolist())
+                ok = possible(n[i], n[j], apart, similarity)
+                i, j, apart = i[ok], j[ok], apart[ok]
+                keep = best_of(key, root, i, j, apart / (n[i] + n[j])) if best else slice(None)
+                chosen.append((i[keep], j[keep]))
+        yield batch(ids, chosen)
+        for a, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            own, held = slice(a, a + m), None
+            for i, j in pairs_in_tree(root[own], n[own], maps[own], similarity):
+                i, j = i + a, j + a
+                if not best:
+                    yield batch(ids, [(i, j)])
+                    continue
+                near = differing(maps[i].tolist(), maps[j].tolist()) / (n[i] + n[j])
+                if held:
+                    i, j, near = (np.concatenate(x) for x in zip(held, (i, j, near), strict=True))
+                keep = best_of(key, root, i, j, near)
+                held = i[keep], j[keep], near[keep]
+            if held:
+                yield batch(ids, [held[:2]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, []
-        for batch in batches:
-            if not batch.num_rows:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def joined() -> list[np.ndarray]:
+            return [np.concatenate(x) for x in zip(*held, strict=True)]
+
+        for b in batches:
+            if not b.num_rows:
                 continue
-            key, ids, root, n = (batch.column(c).to_numpy() for c in ("key", "doc_id", "root", "n"))
-            bits = np.array(batch.column("map").to_pylist() + [None], object)[:-1]
-            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if key[a] != held_key:
-                    if held:
-                        yield from compared(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held_key, held = key[a], []
-                held.append((ids[a:b], root[a:b], n[a:b], bits[a:b]))
+            held.append((*(b.column(c).to_numpy() for c in ("key", "doc_id", "root", "n")), np.array(b.column("map").to_pylist() + [None], object)[:-1]))
+            # All groups but the last, which may go on in the next batch.
+            if held[-1][0][-1] != held[0][0][0]:
+                rows = joined()
+                end = int(np.searchsorted(rows[0], rows[0][-1]))
+                yield from compared(*(x[:end] for x in rows))
+                held[:] = [tuple(x[end:] for x in rows)]
         if held:
-            yield from compared(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from compared(*joined())
 
     return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, sizes: DataFrame, keyed: DataFrame, similarity: float, k: int) -> DataFrame:
+def linked(docs: DataFrame, sizes: DataFrame, keyed: DataFrame, similarity: float, k: int, rounds: int = 3) -> DataFrame:
     """(node, root) of the documents of ``docs`` that reach another over pairs which share a key and have the similarity.
 
     Every pair of a key is either compared or already connected by confirmed links: first each
-    member with its key's leader, which joins most of a cluster without its n^2 pairs, then
-    members of one key that are still in different components.
+    member with its key's leader, then, round by round, each component's closest pair in a key with
+    another component, which joins a cluster of n near copies by about n pairs and not its n^2, and
+    in the end all pairs of one key that are still in different components.
     """
     spark = docs.sparkSession
     shared, shared_path = written(shared_keys(keyed), "op7-shared")
-    tested, tested_path = written(bounded(shared.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct(), sizes, similarity), "op7-tested")
+    pairs = bounded(shared.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct(), sizes, similarity)
+    tested, tested_path = written(pairs, "op7-tested")
     links_, links_path = written(confirmed(tested, docs, similarity, k), "op7-links")
     roots = components(links_, "op7-groups")
-    more, more_path = written(cross_pairs(shared, roots, sizes, similarity).join(tested, ["a", "b"], "left_anti"), "op7-cross")
-    all_links, all_path = written(links_.union(confirmed(more, docs, similarity, k)), "op7-links")
-    found = components(all_links, "op7-groups")
-    dropped(spark, shared_path, tested_path, links_path, more_path, all_path)
-    return found
+    for step in range(rounds):
+        found, found_path = written(cross_pairs(shared, roots, sizes, similarity, best=step + 1 < rounds), "op7-found")
+        more, more_path = written(found.join(tested, ["a", "b"], "left_anti"), "op7-more")
+        dropped(spark, found_path)
+        if not more.limit(1).count():
+            dropped(spark, more_path)
+            continue
+        all_links, all_path = written(links_.union(confirmed(more, docs, similarity, k)), "op7-links")
+        all_tested, all_tested_path = written(tested.union(more), "op7-tested")
+        dropped(spark, links_path, tested_path, more_path)
+        links_, links_path, tested, tested_path = all_links, all_path, all_tested, all_tested_path
+        roots = components(links_, "op7-groups")
+    dropped(spark, shared_path, tested_path, links_path)
+    return roots
 
 
 def common_hashes(docs: DataFrame, k: int, docs_sampled: int = 5_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
