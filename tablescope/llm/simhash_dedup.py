@@ -3,8 +3,9 @@
 1. Fingerprints of whole texts, next to the scan; equal ones collapse to one row at once.
 2. Two fingerprints within d bits agree on one of d + 1 disjoint bit blocks. Each fingerprint is
    sent once for each block, keyed by the block's bits; groups that share a block are sorted by
-   Gray rank. A group with more than ``split_at`` members shares a hot block and is cut again by
-   the same rule over its other bits, as often as there are bits left to tell its members apart.
+   Gray rank. A group with more than ``split_at`` members shares a hot block and is dealt again by
+   the same rule over its other bits, as often as there are bits left to tell its members apart,
+   before any task reads it.
 3. Inside a group a tree of nodes over consecutive Gray ranks holds the bits that all members
    share. Pairs of nodes are compared from the root: differences on the shared bits add up, and a
    pair of whole groups is pruned once they exceed d. A group yields a spanning forest, so a
@@ -30,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, fresh, written
+from .common import dropped, fresh, partitions_for, written
 
 SEED = 42
 BITS = 64
 #: Leaf size and fan-out of the tree over a group's Gray order.
 LEAF, FAN = 32, 8
 SPLIT_AT = 50_000
+#: Edges of a task while components are found.
+EDGES_A_TASK = 500_000
 
 
 def shingle_hashes(text: str | None, k: int, seed: int = SEED) -> np.ndarray:
@@ -171,47 +174,66 @@ def blocks(bits: list[int], parts: int) -> list[list[int]]:
     return [bits[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def picked(fp: np.ndarray, bits: list[int]) -> np.ndarray:
-    mask = np.uint64(sum(1 << b for b in bits))
-    return fp & mask
-
-
-def group_links(fp: np.ndarray, free: list[int], distance: int, split_at: int = SPLIT_AT) -> tuple[np.ndarray, np.ndarray]:
+def group_links(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of one group, as (member, smallest member of its component)."""
-    if len(fp) > split_at and len(free) > 2 * (distance + 1):
-        found = []
-        for own in blocks(free, distance + 1):
-            key = picked(fp, own)
-            order = np.argsort(key, kind="stable")
-            cut = np.flatnonzero(np.diff(key[order])) + 1
-            rest = [b for b in free if b not in set(own)]
-            found += [group_links(g, rest, distance, split_at) for g in np.split(fp[order], cut) if len(g) > 1]
-        a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.uint64)
-        b = np.concatenate([y for _, y in found]) if found else np.empty(0, np.uint64)
-        values, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-        label = forest(len(values), iter([(at[: len(a)], at[len(a) :])]))
-        moved = label != np.arange(len(values))
-        return values[moved], values[label[moved]]
     fp = fp[np.argsort(gray_rank(fp), kind="stable")]
     label = forest(len(fp), GrayTree(fp).near(lambda level, a, b: distance))
     moved = label != np.arange(len(fp))
     return fp[moved], fp[label[moved]]
 
 
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def keyed_by(prints: DataFrame, layouts: dict[int, list[int]]) -> DataFrame:
+    """(fp, layout, key): each fingerprint once for each layout, a list of bits, keyed by these bits."""
+    masks = {i: signed(sum(1 << b for b in bits)) for i, bits in layouts.items()}
+    spread = F.array(*[F.struct(F.lit(i).alias("layout"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in masks.items()])
+    return prints.select("fp", F.explode(spread).alias("k")).select("fp", "k.layout", "k.key")
+
+
+def groups(prints: DataFrame, distance: int, split_at: int) -> Iterator[DataFrame]:
+    """(fp, layout, key): groups of fingerprints, so that any two within ``distance`` are in one.
+
+    Two that agree on a group's bits and are within the distance agree on one of d + 1 blocks of
+    the other bits as well. So a group of more than ``split_at`` members is dealt again by these
+    blocks, each group by itself, as often as there are bits left to tell its members apart.
+    """
+    layouts = dict(enumerate(blocks(list(range(BITS)), distance + 1)))
+    keyed = keyed_by(prints, layouts)
+    while True:
+        splits = [i for i, bits in layouts.items() if BITS - len(bits) > 2 * (distance + 1)]
+        hot = keyed.where(F.col("layout").isin(splits)).groupBy("layout", "key").count().where(F.col("count") > split_at).select("layout", "key")
+        hot, path = written(hot, "op7-hot")
+        which = sorted(r[0] for r in hot.select("layout").distinct().collect())  # no more than there are layouts
+        if not which:
+            yield keyed
+            dropped(prints.sparkSession, path)
+            return
+        yield keyed.join(hot, ["layout", "key"], "left_anti").select("fp", "layout", "key")
+        again, number, finer = None, 0, {}
+        for i in which:
+            own = keyed.where(F.col("layout") == i).join(hot, ["layout", "key"], "left_semi").select("fp")
+            rest = [b for b in range(BITS) if b not in set(layouts[i])]
+            deeper = {number + j: layouts[i] + block for j, block in enumerate(blocks(rest, distance + 1))}
+            part = keyed_by(own, deeper)
+            again = part if again is None else again.union(part)
+            number, finer = number + len(deeper), finer | deeper
+        layouts = finer
+        keyed, _ = written(again, "op7-deeper")
+
+
 def links(prints: DataFrame, distance: int = 2, split_at: int = SPLIT_AT) -> DataFrame:
     """Links (a, b) between distinct fingerprints, enough to connect whatever is connected."""
-    runs = blocks(list(range(BITS)), distance + 1)
-    masks = [sum(1 << b for b in run) for run in runs]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("int").alias("layout"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)])).alias("k")).select("fp", "k.layout", "k.key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
-        def done(group: list[np.ndarray], layout: int) -> Iterator[pa.RecordBatch]:
+        def done(group: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             fp = np.concatenate(group)
             if len(fp) > 1:
-                a, b = group_links(fp.view(np.uint64), [x for x in range(BITS) if x not in set(runs[layout])], distance, split_at)
+                a, b = group_links(fp.view(np.uint64), distance)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
@@ -227,12 +249,16 @@ def links(prints: DataFrame, distance: int = 2, split_at: int = SPLIT_AT) -> Dat
                     held[1].append(fp[a:b])
                 else:
                     if held and (len(held[1]) > 1 or len(held[1][0]) > 1):
-                        yield from done(held[1], held[0][0])
+                        yield from done(held[1])
                     held = (k, [fp[a:b]])
         if held:
-            yield from done(held[1], held[0][0])
+            yield from done(held[1])
 
-    return keyed.repartition("layout", "key").sortWithinPartitions("layout", "key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    out = None
+    for part in groups(prints, distance, split_at):
+        found = part.repartition("layout", "key").sortWithinPartitions("layout", "key").mapInArrow(run, "a long, b long")
+        out = found if out is None else out.union(found)
+    return out.where("a <> b").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -244,17 +270,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     spark = edges.sparkSession
     e, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     while True:
+        # As many tasks as the edges need; what is dealt by a node stays dealt for the grouping and the join after.
+        parts = partitions_for(e.count(), EDGES_A_TASK)
         # Large star: every neighbour that is larger than a node points to the node's smallest.
-        both = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))).toDF("n", "m")
+        both = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))).toDF("n", "m").repartition(parts, "n")
         least = both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("lo"))
-        large = both.join(least, "n").where("m > n").select(F.col("m").alias("a"), F.col("lo").alias("b")).distinct()
+        large = both.join(least, "n").where("m > n").select(F.col("m").alias("a"), F.col("lo").alias("b")).repartition(parts, "a").distinct()
         # Small star: a node's smaller neighbours and the node itself point to the smallest of them.
         lows = large.groupBy("a").agg(F.min("b").alias("lo"))
-        small = large.join(lows, "a").select(F.when(F.col("b") == F.col("lo"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("lo").alias("b")).where("a <> b").distinct()
-        nxt, nxt_path = written(small, name)
+        small = large.join(lows, "a").select(F.when(F.col("b") == F.col("lo"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("lo").alias("b")).where("a <> b")
+        nxt, nxt_path = written(small.repartition(parts, "a").distinct(), name)
         # Stars all: no node is both a leaf and a root, and no leaf has two roots.
-        roots = nxt.select(F.col("b").alias("a")).distinct()
-        unsettled = nxt.join(roots, "a", "left_semi").limit(1).count() + nxt.groupBy("a").count().where("count > 1").limit(1).count()
+        ends = nxt.select(F.col("a").alias("x"), F.lit(1).alias("leaf")).union(nxt.select("b", F.lit(0))).repartition(parts, "x")
+        unsettled = ends.groupBy("x").agg(F.sum("leaf").alias("up"), F.count(F.lit(1)).alias("n")).where("up > 1 OR (up = 1 AND n > 1)").limit(1).count()
         dropped(spark, path)
         e, path = nxt, nxt_path
         if not unsettled:
