@@ -7,8 +7,8 @@ answers each piece with those of its keys that occur elsewhere. A key that half
 costs a bucket one entry for each piece, not one for each occurrence.
 
 Packed, a key takes 4 to 6 bytes instead of the 24 of a shuffled row, which is what keeps the
-disk of a census below the size of the text. Keys whose equality decides (``extra``) carry 32 more
-bits of a second hash, 96 in all.
+disk of a census below the size of the text. Keys whose equality decides (``extra``) carry 24 more
+bits of a second hash, 88 in all.
 
 The number of buckets grows with the number of keys, so what a bucket's task holds doesn't. Where
 a piece would send too few keys to each of so many buckets, it sends to coarse ones; their tasks,
@@ -152,8 +152,29 @@ def sent(piece: int, keys: np.ndarray, buckets: Buckets, key_bits: int = 64, ext
     return packed_table([piece] * len(rows), [b for b, _, _ in rows], [k for _, k, _ in rows], [x for _, _, x in rows])
 
 
+#: Bytes of the second hash that travel with a key.
+EXTRA_BYTES = 3
+
+
+def pack_extra(extra: np.ndarray) -> bytes:
+    """The lowest bytes of second hashes, plane by plane."""
+    return np.ascontiguousarray(extra.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :EXTRA_BYTES].T).tobytes()
+
+
+def unpack_extra(blob: bytes) -> np.ndarray:
+    n = len(blob) // EXTRA_BYTES
+    out = np.zeros((n, 4), np.uint8)
+    out[:, :EXTRA_BYTES] = np.frombuffer(blob, np.uint8).reshape(EXTRA_BYTES, n).T
+    return out.view(np.uint32).ravel()
+
+
+def second(h: np.ndarray) -> np.ndarray:
+    """What of a 64-bit hash serves as a second one."""
+    return (h >> np.uint64(64 - 8 * EXTRA_BYTES)).astype(np.uint32)
+
+
 def packed_table(pieces: list, buckets: list, keys: list, extras: list | None = None) -> pa.Table:
-    extra = [x.astype(np.uint32).tobytes() if x is not None else None for x in extras] if extras else [None] * len(pieces)
+    extra = [pack_extra(x) if x is not None else None for x in extras] if extras else [None] * len(pieces)
     return pa.table({"piece": pa.array(pieces, pa.int32()), "bucket": pa.array(buckets, pa.int64()), "keys": pa.array([pack(k) for k in keys], pa.binary()), "extra": pa.array(extra, pa.binary())})
 
 
@@ -171,13 +192,13 @@ def from_pieces(table: pa.Table) -> Entries:
     """The entries of a bucket as pieces sent them, in the order of pieces."""
     table = table.sort_by("piece")
     keys = [unpack(b) for b in table["keys"].to_pylist()]
-    extra = [np.frombuffer(x, np.uint32) if x is not None else np.zeros(len(k), np.uint32) for k, x in zip(keys, table["extra"].to_pylist(), strict=True)]
+    extra = [unpack_extra(x) if x is not None else np.zeros(len(k), np.uint32) for k, x in zip(keys, table["extra"].to_pylist(), strict=True)]
     return np.concatenate(keys), np.concatenate(extra), np.repeat(table["piece"].to_numpy(), [len(k) for k in keys])
 
 
 def from_runs(table: pa.Table) -> Entries:
     """The entries of a fine bucket as splitting tasks sent them, in the order of pieces."""
-    parts = [(unpack(k), np.frombuffer(x, np.uint32), np.frombuffer(p, np.int32)) for k, x, p in zip(*(table[c].to_pylist() for c in ("keys", "extra", "pieces")), strict=True)]
+    parts = [(unpack(k), unpack_extra(x), np.frombuffer(p, np.int32)) for k, x, p in zip(*(table[c].to_pylist() for c in ("keys", "extra", "pieces")), strict=True)]
     key, extra, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(piece, kind="stable")
     return key[order], extra[order], piece[order]
@@ -205,7 +226,7 @@ def answered(keys: DataFrame, buckets: Buckets, keep: Callable[[np.ndarray, np.n
         coarse = table["bucket"][0].as_py()
         key, extra, piece = in_order(*from_pieces(table))
         cut = cut_at(key, coarse * buckets.fine, buckets.fine, buckets.coarse * buckets.fine, key_bits)
-        rows = [(coarse * buckets.fine + i, pack(k), x.tobytes(), p.astype(np.int32).tobytes()) for i, (k, x, p) in enumerate(zip(*(np.split(v, cut) for v in (key, extra, piece)), strict=True)) if len(k)]
+        rows = [(coarse * buckets.fine + i, pack(k), pack_extra(x), p.astype(np.int32).tobytes()) for i, (k, x, p) in enumerate(zip(*(np.split(v, cut) for v in (key, extra, piece)), strict=True)) if len(k)]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64())} | {c: pa.array([r[i] for r in rows], pa.binary()) for i, c in ((1, "keys"), (2, "extra"), (3, "pieces"))})
 
     runs = keys.withColumn("run", F.floor(F.col("piece") / buckets.run)).groupBy("bucket", "run").applyInArrow(split, MERGED)
@@ -223,7 +244,7 @@ def received(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = [unpack(b) for b in table["keys"].to_pylist() if b is not None]
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.uint32)
-    extra = [np.frombuffer(x, np.uint32) for x, b in zip(table["extra"].to_pylist(), table["keys"].to_pylist(), strict=True) if b is not None]
+    extra = [unpack_extra(x) for x, b in zip(table["extra"].to_pylist(), table["keys"].to_pylist(), strict=True) if b is not None]
     key, extra = np.concatenate(keys), np.concatenate(extra)
     order = np.lexsort((extra, key))
     return key[order], extra[order]

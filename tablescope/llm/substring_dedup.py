@@ -9,8 +9,8 @@ of repeated windows are the maximal exact repeats; (3) their words are removed.
 Nulls: a null text has no words; a null doc_id is a document like any other. Rows that repeat a
 doc_id are documents of their own. Empty tables give empty results, extra columns are ignored,
 whatever their names. A text of any length is one document of one piece, and is read whole.
-What is removed is decided by 95-bit keys: of n candidate windows some n^2 / 2^96 pairs collide by
-chance, about one in a thousand corpora of 10^13 windows (100 TB); blocks only choose candidates.
+What is removed is decided by 87-bit keys: of n candidate windows some n^2 / 2^88 pairs collide by
+chance, less than one pair in 10^13 windows (100 TB); blocks only choose candidates.
 """
 
 from __future__ import annotations
@@ -64,9 +64,9 @@ class Piece:
         return starts, np.concatenate(found) if found else np.empty(0, np.uint64)
 
     def windows(self, width: int, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, 64-bit keys and second hashes of 32 bits of the windows that start where ``use`` says."""
+        """Starts, 64-bit keys and second hashes of the windows that start where ``use`` says."""
         starts, keys = self.rolled(width, use)
-        return starts, keys, (self.rolled(width, use, second=True)[1] >> np.uint64(32)).astype(np.uint32)
+        return starts, keys, census.second(self.rolled(width, use, second=True)[1])
 
 
 def block_keys(piece: Piece, block: int) -> tuple[np.ndarray, np.ndarray]:

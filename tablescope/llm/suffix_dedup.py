@@ -20,8 +20,8 @@ Documents are cut into pieces by ranges of doc_id and text, so "earlier" between
 of pieces and keys travel without positions. Nulls: a null text is empty; a null doc_id comes first.
 Rows that repeat a doc_id are documents in the order of their text. Matches never cross documents.
 An empty table gives no rows; extra columns are ignored, whatever their names. A text of any length
-is one document of one piece, and is read whole. What is removed is decided by 96-bit keys: of n
-candidate prefixes some n^2 / 2^97 pairs collide by chance, below 1e-2 for 10^13 of them.
+is one document of one piece, and is read whole. What is removed is decided by 88-bit keys: of n
+candidate prefixes some n^2 / 2^89 pairs collide by chance, less than one for 10^13 of them.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ def candidate_keys(piece: Piece, names: np.ndarray, length: int, window: int) ->
     reach -= np.bincount(at + 1, minlength=len(piece.buf) + 1)
     use = (np.cumsum(reach[:-1], dtype=np.int32) > 0) & piece.inside(window)
     starts, keys = piece.rolled(window, use)
-    return starts, keys, (piece.rolled(window, use, second=True)[1] >> np.uint64(32)).astype(np.uint32)
+    return starts, keys, census.second(piece.rolled(window, use, second=True)[1])
 
 
 def later_copies(dealt: DataFrame, window: int) -> DataFrame:
