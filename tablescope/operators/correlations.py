@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -162,20 +162,25 @@ def selected(columns: list[str], variables: dict[str, dict], limit: int) -> tupl
     return sorted(columns, key=order)[:limit], True
 
 
-def compute(df: DataFrame, variables: dict[str, dict], n_rows: int, threshold: int = 1_000_000, sample_size: int = 1_000_000, seed: int | None = 42, max_columns: int = 15) -> dict:
-    """Both matrices of a report, on a sample where the table is large."""
+def sample(df: DataFrame, columns: list[str], n_rows: int, threshold: int = 1_000_000, sample_size: int = 1_000_000, seed: int | None = 42) -> tuple[DataFrame, dict]:
+    """The columns as doubles, of a sample where the table is large, and what a report says of it."""
+    share = sample_size / n_rows if n_rows else 1.0
+    sampled = n_rows > threshold and share < 1
+    own = df.select(*[named(c) for c in columns])
+    own = own.sample(fraction=share, seed=seed) if sampled else own
+    return values(own, columns), {"sampled": sampled, "sample_size": sample_size if sampled else n_rows}
+
+
+def compute(df: DataFrame, variables: dict[str, dict], n_rows: int, threshold: int = 1_000_000, sample_size: int = 1_000_000, seed: int | None = 42, max_columns: int = 15, ranked: Callable[[], list] | None = None) -> dict:
+    """Both matrices of a report. ``ranked`` gives that of Spearman if it has been started already, for all eligible columns."""
     every = eligible(df)
     columns, truncated = selected(every, variables, max_columns)
     meta = {"truncated": truncated, "original_count": len(every), "limit": max(2, max_columns)}
-    share = sample_size / n_rows if n_rows else 1.0
-    sampled = n_rows > threshold and share < 1
-    flags = {"sampled": sampled, "sample_size": sample_size if sampled else n_rows}
+    x, flags = sample(df, columns, n_rows, threshold, sample_size, seed)
     if len(columns) < 2:
         return {"pearson": {"columns": columns, "matrix": [], **flags}, "spearman": {"columns": columns, "matrix": [], **flags}, "_metadata": meta}
-    own = df.select(*[named(c) for c in columns])
-    own = own.sample(fraction=share, seed=seed) if sampled else own
-    x, known = values(own, columns), [variables.get(c, {}) for c in columns]
+    known = [variables.get(c, {}) for c in columns]
     centers = [float(v["mean"]) if isinstance(v.get("mean"), (int, float)) and math.isfinite(v["mean"]) else 0.0 for v in known]
     both = pearson(x, len(columns), centers, [v.get("n_missing") == 0 for v in known])
-    ranked = spearman(x, len(columns), sample_size if sampled else n_rows)
-    return {"pearson": {"columns": columns, "matrix": both, **flags}, "spearman": {"columns": columns, "matrix": ranked, **flags}, "_metadata": meta}
+    ranks_ = ranked() if ranked else spearman(x, len(columns), flags["sample_size"])
+    return {"pearson": {"columns": columns, "matrix": both, **flags}, "spearman": {"columns": columns, "matrix": ranks_, **flags}, "_metadata": meta}
