@@ -609,7 +609,13 @@ def profile_time_histogram_events(spark: SparkSession, sf_dir: str) -> DataFrame
     return spark.createDataFrame([("ts", i, n) for i, n in enumerate(v["ts"]["time_histogram"]["counts"])], "column_name string, bin int, n long")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, side, place, v::VARCHAR AS v FROM ({extreme_sql(c, 'part', d)})" for c, d in (("p_partkey", False), ("p_size", True), ("p_brand", True), ("p_name", False))))
+def either_sql(c: str, source: str) -> str:
+    """Extremes of a column, each value once if at most half of the values are distinct."""
+    share = f"(SELECT count(DISTINCT {c}) / count(*) FROM {source})"
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, side, place, v::VARCHAR AS v FROM ({extreme_sql(c, source, d)}) WHERE {share} {test} 0.5" for d, test in ((True, "<="), (False, ">")))
+
+
+@query(" UNION ALL ".join(either_sql(c, "part") for c in ("p_partkey", "p_size", "p_brand", "p_name")))
 def profile_extremes_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats show only in columns most of whose values are distinct."""
     names = ["p_partkey", "p_size", "p_brand", "p_name"]
