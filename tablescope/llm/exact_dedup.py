@@ -22,10 +22,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest, dropped, fresh, shared_dir, written
+from .common import digest, dropped, fresh, partitions_for, shared_dir, written
 
 #: A digest is hot if it has more rows than this, and more than one in ``HOT_SHARE`` of them all: so at most ``HOT_SHARE`` are.
 HOT_ROWS, HOT_SHARE = 100_000, 10_000
+#: Rows of a new index's bucket, about, and its most buckets; an index keeps the number that it was made with.
+BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 50_000
+
+
+def buckets_for(rows: int) -> int:
+    return min(MOST_BUCKETS, partitions_for(rows, BUCKET_ROWS, 16))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ def judged(docs: DataFrame, batches: list[Column | str] | None = None, index: Di
     ``batches``: conditions on doc_id that together hold for every row once; None: one batch.
     """
     digested, _ = written(digests(docs), "op2-digests")
-    index = index or DigestIndex(docs.sparkSession)
+    index = index or DigestIndex(docs.sparkSession, buckets=buckets_for(digested.count()))
     for condition in batches or ["true"]:
         index.add(digested.where(condition))
     return verdicts(digested, index)
@@ -108,8 +114,8 @@ def judged(docs: DataFrame, batches: list[Column | str] | None = None, index: Di
 
 def deduplicated(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows that stay, one for each text, with the columns of ``docs``; with an index, those new to it, which are appended."""
-    index = index or DigestIndex(docs.sparkSession)
     digested, path = written(digests(docs), "op2-digests")
+    index = index or DigestIndex(docs.sparkSession, buckets=buckets_for(digested.count()))
     new = index.add(digested)
     key, first = (fresh(docs.columns, c) for c in ("sha", "keep"))
     keep = new.select(F.col("text_sha256").alias(key), F.col("keep_id").alias(first))
